@@ -19,6 +19,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, tokenizer_config(), with_values=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import langid
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~held_out(F.col("doc_id"))))
+    return langid.identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def tokenizer_config(path: str | None = None) -> str:
     """The tokenizer file's contents; its path is a parameter, by default the public 49k vocabulary."""
     if path is None:
