@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,10 +34,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_columns(df: DataFrame, schema: StructType, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """mapInArrow under a name that says what it is for."""
-    return df.mapInArrow(fn, schema)
+def bounded_sample(rows: DataFrame, key: str, text: str, n: int, chars: int, slices: int = 50) -> dict[str, list[str]]:
+    """For each value of key (as text), about n different texts' first chars characters: the least hashes of each of the slices.
 
+    The bound is n for each value, whatever the input's size. A value or a text that
+    holds most rows has no task of its own: hashes are made distinct first, slices part
+    the values, and each task passes on one row of a wanted text.
+    """
+    rows = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    order = Window.partitionBy("k", F.pmod("h", F.lit(slices))).orderBy("h")
+    least = rows.select("k", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= -(-n // slices)).select("k", "h")
+    wanted = {(r["k"], r["h"]) for r in least.collect()}
+    if not wanted:
+        return {}
+    shared = rows.sparkSession.sparkContext.broadcast(frozenset(wanted))
 
-def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = set(shared.value)
+        for b in batches:
+            at = []
+            for i, pair in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if pair in left:
+                    left.remove(pair)
+                    at.append(i)
+            if at:
+                yield b.take(pa.array(at))
+
+    found = rows.withColumn("text", F.substring("text", 1, chars)).mapInArrow(first_of_each, "k string, h long, text string").dropDuplicates(["k", "h"])
+    out: dict[str, list[tuple[int, str]]] = {}
+    for r in found.collect():
+        out.setdefault(r["k"], []).append((r["h"], r["text"]))
+    return {k: [t for _, t in sorted(v)] for k, v in out.items()}

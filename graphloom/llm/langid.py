@@ -28,10 +28,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.common import bounded_sample
+
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -191,31 +193,13 @@ class Model:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", train_docs: int = 300, train_chars: int = 40_000, doc_chars: int = 10_000) -> Model:
-    """Fit on a bounded sample of labelled rows: train_docs different texts for each language, of each the words of doc_chars characters.
-
-    The sample is a fixed number of least hashes in each of 50 slices of a language, so
-    neither a language nor a text that holds most rows has a task of its own.
-    """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    order = Window.partitionBy("lang", F.pmod("h", F.lit(50))).orderBy("h")
-    least = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= -(-train_docs // 50)).select("lang", "h")
-    chosen = {(r["lang"], r["h"]) for r in least.collect()}
-    if not chosen:
-        return Model({})
-    shared = labelled.sparkSession.sparkContext.broadcast(frozenset(chosen))
-
-    def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = set(shared.value)
-        for b in batches:
-            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            at = [i for i, k in enumerate(keys) if k in wanted and (wanted.remove(k) or True)]
-            if at:
-                yield b.take(pa.array(at))
-
-    sample = rows.withColumn("text", F.substring("text", 1, doc_chars)).mapInArrow(first_of_each, "lang string, h long, text string").dropDuplicates(["lang", "h"])
+    """Fit on a bounded sample of labelled rows: train_docs different texts for each language, of each the words of doc_chars characters."""
+    rows = labelled.where(F.col(text).rlike(r"\p{L}"))
     counts: dict[str, Counter] = {}
-    for row in sample.collect():
-        counts.setdefault(row["lang"], Counter()).update(LETTERS.findall(row["text"].lower()))
+    for name, texts in bounded_sample(rows, lang, text, train_docs, doc_chars).items():
+        own = counts[name] = Counter()
+        for x in texts:
+            own.update(LETTERS.findall(x.lower()))
     words = {}
     for name, found in counts.items():
         room, own = train_chars, []

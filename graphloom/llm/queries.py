@@ -12,6 +12,16 @@ from graphloom.llm.common import held_out, read
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import toxicity
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    labelled = docs.join(labels, "doc_id").where(~held_out(F.col("doc_id")))
+    model = toxicity.train(labelled)
+    return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import bpe
 
