@@ -60,14 +60,14 @@ class Model:
 
     def __init__(self, common: list[str], marks: list[str]):
         self.common, self.marks = common, marks
-        self.weights = np.zeros(5)
+        self.weights = np.zeros(6)
         self.blank = True
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "pair"}
 
     def features(self, text: str | None) -> list[float]:
-        """1; the two widest margins of windows; how many windows save two bytes or more, and what share of all they are."""
+        """1; the two widest margins of windows; how many windows save a byte, and two bytes; how many windows there are to err in."""
         if not hasattr(self, "pair"):
             usual = (" " + " ".join(self.common) + " ").encode()
             self.pair = Pair(usual, "".join(self.marks).encode() + usual, 6)
@@ -79,7 +79,7 @@ class Model:
                 found.append(m)
         found.sort(reverse=True)
         strong = sum(m >= 2 for m in found)
-        return [1.0, min(found[0], 8) / 4, min(found[1], 8) / 4, float(np.log1p(strong)), strong / max(windows, 1)]
+        return [1.0, min(found[0], 8) / 4, min(found[1], 8) / 4, float(np.log1p(len(found) - 2)), float(np.log1p(strong)), float(np.log1p(windows)) / 4]
 
     def score(self, text: str | None) -> float:
         if self.blank:
@@ -87,11 +87,15 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights, self.features(text)), -35, 35))))
 
 
-def choose_marks(toxic: list[str], ordinary: list[str], least: float = 0.015, lift: float = 20.0) -> list[str]:
+def choose_marks(toxic: list[str], ordinary: list[str], least: float = 0.02, lift: float = 20.0) -> list[str]:
     """What the toxic dictionary is trained to hold: strings in at least this share of toxic texts, and so many times rarer in ordinary ones."""
     counts = Counter()
+    met: set[int] = set()
     for x in toxic:
-        counts.update({g for w in set(WORD.findall(x.lower())) for g in grams(w)})
+        ws = WORD.findall(x.lower())
+        # a copy of a text brings no new neighbours, and so counts for nothing
+        fresh = {w for p, w, n in zip(["", *ws], ws, [*ws[1:], ""], strict=False) if (h := hash((p, w, n))) not in met and (met.add(h) or True)}
+        counts.update({g for w in fresh for g in grams(w)})
     often = {g: n for g, n in counts.items() if n >= max(3, least * len(toxic))}
     usual = Counter()
     for x in ordinary:
