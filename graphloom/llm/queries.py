@@ -17,8 +17,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
-    labelled = docs.join(labels, "doc_id").where(~held_out(F.col("doc_id")))
-    model = toxicity.train(labelled)
+    model = toxicity.train(docs.where(~held_out(F.col("doc_id"))), labels.where(~held_out(F.col("doc_id"))))
     return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
@@ -29,6 +28,19 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, tokenizer_config(), with_values=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import chat
+
+    given = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
+    formatted = chat.format_trees(chat.from_turns(given.unionByName(added)), keep=1)
+    turns, loss = chat.read_back(F.col("formatted")), chat.loss_text(F.col("formatted"), F.col("mask"))
+    out = formatted.select(F.when(F.col("tree") != "null", F.substring("tree", 2, 30).cast("long")).alias("conv_id"), turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    said_by = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said_by.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import langid
 
@@ -61,5 +73,23 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None yet: each of these operators is held against a brute-force version in tests/llm."""
-    return {}
+    """The others are held against brute-force versions, round trips or held-out accuracy in tests/llm."""
+    return {"op5_chat": OP5_SQL}
+
+
+OP5_SQL = r"""
+WITH given AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), escaped AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e') AS body,
+    replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\e'), ':', '\c') AS head FROM given
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(head) + length(body) + 14) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
