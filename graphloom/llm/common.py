@@ -34,34 +34,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_sample(rows: DataFrame, key: str, text: str, n: int, chars: int, slices: int = 50) -> dict[str, list[str]]:
-    """For each value of key (as text), about n different texts' first chars characters: the least hashes of each of the slices.
-
-    The bound is n for each value, whatever the input's size. A value or a text that
-    holds most rows has no task of its own: hashes are made distinct first, slices part
-    the values, and each task passes on one row of a wanted text.
-    """
-    rows = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+def least_hashes(rows: DataFrame, n: int, slices: int = 200) -> set[tuple[str, int]]:
+    """rows: k and h. For each k about n different h: the least of each of the slices, so that no k has a task of its own."""
     order = Window.partitionBy("k", F.pmod("h", F.lit(slices))).orderBy("h")
-    least = rows.select("k", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= -(-n // slices)).select("k", "h")
-    wanted = {(r["k"], r["h"]) for r in least.collect()}
-    if not wanted:
+    found = rows.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= -(-n // slices))
+    return {(r["k"], r["h"]) for r in found.select("k", "h").collect()}
+
+
+def texts_of(docs: DataFrame, text: str, hashes: set[int], chars: int) -> dict[int, str]:
+    """The first chars characters of the texts with these hashes, of a bounded number: each task passes on one row of a text."""
+    if not hashes:
         return {}
-    shared = rows.sparkSession.sparkContext.broadcast(frozenset(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(hashes))
 
     def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = set(shared.value)
         for b in batches:
             at = []
-            for i, pair in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                if pair in left:
-                    left.remove(pair)
+            for i, h in enumerate(b.column(0).to_pylist()):
+                if h in left:
+                    left.remove(h)
                     at.append(i)
             if at:
                 yield b.take(pa.array(at))
 
-    found = rows.withColumn("text", F.substring("text", 1, chars)).mapInArrow(first_of_each, "k string, h long, text string").dropDuplicates(["k", "h"])
-    out: dict[str, list[tuple[int, str]]] = {}
-    for r in found.collect():
-        out.setdefault(r["k"], []).append((r["h"], r["text"]))
-    return {k: [t for _, t in sorted(v)] for k, v in out.items()}
+    rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.substring(text, 1, chars).alias("text"))
+    return {r["h"]: r["text"] for r in rows.mapInArrow(first_of_each, "h long, text string").dropDuplicates(["h"]).collect()}
+
+
+def bounded_sample(docs: DataFrame, key: str, text: str, n: int, chars: int) -> dict[str, list[str]]:
+    """For each value of key (as text) about n different texts' first chars characters, whatever the input's size. No text is shuffled but those."""
+    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.xxhash64(text).alias("h"))
+    wanted = least_hashes(rows, n)
+    texts = texts_of(docs.where(F.col(key).isNotNull()), text, {h for _, h in wanted}, chars)
+    out: dict[str, list[str]] = {}
+    for k, h in sorted(wanted):
+        if h in texts:
+            out.setdefault(k, []).append(texts[h])
+    return out

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import bounded_sample
+from graphloom.llm.common import least_hashes, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 WIDE = 48
@@ -120,12 +120,17 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 40) -> np
     return w
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", train_docs: int = 3000, doc_chars: int = 20_000, common_words: int = 1500) -> Model:
-    """labelled: a text and a label, 1 or 0, in each row; other labels and nulls teach nothing."""
-    rows = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(text, F.col(label).cast("int").alias(label))
-    share = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
-    sample = bounded_sample(rows, label, text, train_docs, doc_chars)
-    toxic, ordinary = sample.get("1", []), sample.get("0", [])
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_docs: int = 3000, doc_chars: int = 20_000, common_words: int = 1500) -> Model:
+    """labels: a document's key and its label, 1 or 0; other labels and nulls teach nothing.
+
+    Only keys and hashes of texts are joined; the sample's texts are then picked by hash.
+    """
+    keyed = docs.where(F.col(text).isNotNull()).select(key, F.xxhash64(text).alias("h"))
+    rows = keyed.join(labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").cast("string").alias("k")), key).select("k", "h")
+    share = {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()}
+    wanted = least_hashes(rows, train_docs)
+    texts = texts_of(docs, text, {h for _, h in wanted}, doc_chars)
+    toxic, ordinary = ([texts[h] for k, h in sorted(wanted) if k == kind and h in texts] for kind in "10")
     if not toxic or not ordinary:
         return Model([], [])
     common = Counter()
@@ -136,7 +141,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", train_d
     weights = fit(np.array([model.features(x) for x, _ in own]), np.array([y for _, y in own], float))
     # the sample has both labels alike often; the corpus does not
     drawn = sum(y for _, y in own) / max(1, sum(1 - y for _, y in own))
-    weights[0] += np.log(share[1] / share[0]) - np.log(drawn)
+    weights[0] += np.log(share["1"] / share["0"]) - np.log(drawn)
     model.weights, model.blank = weights, False
     return model
 
