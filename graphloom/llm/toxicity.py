@@ -8,7 +8,7 @@ curve over a document's widest margins is the calibrated threshold.
 
 Only text is an input of a score; labels only choose which sample a text is in.
 Training is bounded: ``train_docs`` different texts for each label, of each
-``doc_chars`` characters; half of them train the dictionaries, half calibrate.
+``doc_chars`` characters.
 Scoring takes every text whole.
 
 Defined results: null and empty texts have no windows and get the score of a text
@@ -87,8 +87,8 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights, self.features(text)), -35, 35))))
 
 
-def choose_marks(toxic: list[str], ordinary: list[str], least: float = 0.02, lift: float = 20.0) -> list[str]:
-    """What the toxic dictionary is trained to hold: strings in at least this share of toxic texts, and so many times rarer in ordinary ones."""
+def choose_marks(toxic: list[str], ordinary: list[str], least: float = 0.02, lift: float = 10.0) -> list[str]:
+    """What the toxic dictionary is trained to hold: strings in at least this share of toxic texts beyond 200, in three at least, and so many times rarer in ordinary ones."""
     counts = Counter()
     met: set[int] = set()
     for x in toxic:
@@ -96,7 +96,7 @@ def choose_marks(toxic: list[str], ordinary: list[str], least: float = 0.02, lif
         # a copy of a text brings no new neighbours, and so counts for nothing
         fresh = {w for p, w, n in zip(["", *ws], ws, [*ws[1:], ""], strict=False) if (h := hash((p, w, n))) not in met and (met.add(h) or True)}
         counts.update({g for w in fresh for g in grams(w)})
-    often = {g: n for g, n in counts.items() if n >= max(3, least * len(toxic))}
+    often = {g: n for g, n in counts.items() if n >= max(3, least * (len(toxic) - 200))}
     usual = Counter()
     for x in ordinary:
         usual.update({g for w in set(WORD.findall(x.lower())) for g in grams(w) if g in often})
@@ -136,8 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     common = Counter()
     for x in ordinary[::2]:
         common.update(WORD.findall(x.lower()))
-    model = Model([w for w, _ in sorted(common.items(), key=lambda p: (-p[1], p[0]))[:common_words]], choose_marks(toxic[::2], ordinary[::2]))
-    own = [*((x, 1) for x in toxic[1::2] or toxic), *((x, 0) for x in ordinary[1::2] or ordinary)]
+    model = Model([w for w, _ in sorted(common.items(), key=lambda p: (-p[1], p[0]))[:common_words]], choose_marks(toxic, ordinary))
+    own = [*((x, 1) for x in toxic), *((x, 0) for x in ordinary)]
     weights = fit(np.array([model.features(x) for x, _ in own]), np.array([y for _, y in own], float))
     # the sample has both labels alike often; the corpus does not
     drawn = sum(y for _, y in own) / max(1, sum(1 - y for _, y in own))
