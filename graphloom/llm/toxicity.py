@@ -87,8 +87,8 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights, self.features(text)), -35, 35))))
 
 
-def choose_marks(toxic: list[str], ordinary: list[str], least: float = 0.02, lift: float = 10.0) -> list[str]:
-    """What the toxic dictionary is trained to hold: strings in at least this share of toxic texts beyond 200, in three at least, and so many times rarer in ordinary ones."""
+def choose_marks(toxic: list[str], ordinary: list[str], least: float = 0.02, lift: float = 8.0) -> list[str]:
+    """What the toxic dictionary is trained to hold: strings in at least this share of toxic texts beyond 200, in eight at least unless there are few, and so many times rarer in ordinary ones."""
     counts = Counter()
     met: set[int] = set()
     for x in toxic:
@@ -96,7 +96,7 @@ def choose_marks(toxic: list[str], ordinary: list[str], least: float = 0.02, lif
         # a copy of a text brings no new neighbours, and so counts for nothing
         fresh = {w for p, w, n in zip(["", *ws], ws, [*ws[1:], ""], strict=False) if (h := hash((p, w, n))) not in met and (met.add(h) or True)}
         counts.update({g for w in fresh for g in grams(w)})
-    often = {g: n for g, n in counts.items() if n >= max(3, least * (len(toxic) - 200))}
+    often = {g: n for g, n in counts.items() if n >= max(2, min(8, 0.05 * len(toxic)), least * (len(toxic) - 200))}
     usual = Counter()
     for x in ordinary:
         usual.update({g for w in set(WORD.findall(x.lower())) for g in grams(w) if g in often})
