@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,3 +73,11 @@ def bounded_sample(docs: DataFrame, key: str, text: str, n: int, chars: int) ->
         if h in texts:
             out.setdefault(k, []).append(texts[h])
     return out
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Write to the shared folder as Parquet and read again: lineage ends there, and later reads take only the columns they need."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

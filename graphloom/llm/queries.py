@@ -41,6 +41,12 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said_by.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import neardup
+
+    return neardup.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import html
 
