@@ -47,6 +47,12 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import ann
+
+    return ann.search(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "id % 20 = 0")
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import html
 
