@@ -21,6 +21,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import pii
+
+    found = pii.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.aggregate("base", F.lit(0).cast("long"), _plus_one_if(k)).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
+def _plus_one_if(kind: int):
+    return lambda n, s: n + F.when(s["kind"] == kind, 1).otherwise(0)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import bpe
 
