@@ -13,10 +13,10 @@ the chain falls short, the exact Jaccard similarity of the k-mers, labelled or p
 decides. Links join texts into classes.
 
 Exact copies are one node from the start. Nothing is dropped from a crowded bucket:
-first all its members meet its least member, links are contracted, and then, as long
-as a bucket holds several classes, members meet their next neighbours by size, a few
-ranks at a time, until no pair of different classes and near sizes is left. Pairs
-inside a class are never formed, so a large group of copies costs its length.
+for some rounds one member, another each time, meets all others, and links are
+contracted to classes; buckets that are one class are done. In those that are left,
+every pair of different classes and near sizes is then verified. Pairs inside a class
+are never formed, so a large group of copies costs its length.
 
 Defined results: a text of fewer than five words has one k-mer, all its words; texts
 without a word, null among them, are alike only if equal, null and empty being equal;
@@ -32,7 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, stored
@@ -190,43 +190,51 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "codes_a", "codes_b").mapInArrow(run, "a binary, b binary")
 
 
-def classes(docs: DataFrame, text: str = "text", least: float = SIMILAR, tables: int = TABLES, take: int = TAKE, ranks: int = 8) -> DataFrame:
+def classes(docs: DataFrame, text: str = "text", least: float = SIMILAR, tables: int = TABLES, take: int = TAKE, rounds: int = 3) -> DataFrame:
     """One row for each row of docs: doc_id and class_id, the least doc_id of its class."""
     found = stored(sketches(docs, text, tables, take), "sketches")
     nodes = found.select("key", "n", "buckets").where("n > 0").dropDuplicates(["key"])
-    members = stored(nodes.select("key", "n", F.explode("buckets").alias("bucket")), "members")
-    full = members.groupBy("bucket").agg(F.min("key").alias("first"), F.count("*").alias("size")).where("size > 1").select("bucket", "first")
+    members = nodes.select("key", "n", F.explode("buckets").alias("bucket"))
+    full = members.groupBy("bucket").count().where("count > 1").select("bucket")
     members = stored(members.join(full, "bucket"), "members")
     texts = stored(found.join(members.select("key").distinct(), "key", "left_semi").select("key", "codes").dropDuplicates(["key"]), "texts")
     near = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1
 
-    # round 0: each member meets the first of its bucket
-    pairs = cut(members.where("key != first").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct())
-    tried = pairs
-    links = cut(verify(pairs, texts, least))
-    roots = components(links)
-    rank = Window.partitionBy("bucket").orderBy("n", "key")
-    at = 1
-    while True:
-        labels = roots.withColumnRenamed("node", "key")
-        now = members.select("bucket", "key", "n").join(labels, "key", "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root"))
+    roots: DataFrame | None = None
+    now = members.select("bucket", "key", "n", F.col("key").alias("root"))
+    for turn in range(rounds + 1):
+        last = turn == rounds
+        if last:
+            # every pair left of different classes: all members outside a bucket's largest class, against the whole bucket
+            sizes = now.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+            few = now.join(sizes, "bucket").where("root != main").select("bucket", F.col("key").alias("k"), F.col("n").alias("m"), F.col("root").alias("other"))
+        else:
+            # a member of each bucket, another one each round, meets all the rest
+            few = now.groupBy("bucket").agg(F.min_by(F.struct("key", "n", "root"), F.xxhash64("key", F.lit(turn))).alias("o")).select("bucket", F.col("o.key").alias("k"), F.col("o.n").alias("m"), F.col("o.root").alias("other"))
+        pairs = now.join(few, "bucket").where((F.col("root") != F.col("other")) & near).select(F.least("key", "k").alias("a"), F.greatest("key", "k").alias("b")).distinct()
+        links = stored(verify(pairs, texts, least), "links")
+        if not links.isEmpty():
+            if roots is None:
+                roots = components(links)
+            else:
+                # links of earlier rounds are in the classes; only classes are linked further
+                a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+                over = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()
+                then = components(over)
+                moved = roots.join(then.select(F.col("node").alias("root"), F.col("root").alias("then")), "root", "left").select("node", F.coalesce("then", "root").alias("root"))
+                roots = cut(moved.unionByName(then.join(roots.select("node"), "node", "left_anti")))
+        if roots is None or last:
+            if roots is None and not last:
+                continue
+            break
+        labels = roots.select(F.col("node").alias("key"), F.col("root").alias("label"))
+        now = members.join(labels, "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("root"))
         mixed = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-        here = now.join(mixed, "bucket", "left_semi")
-        ahead = F.array(*[F.lead(F.struct("key", "n", "root"), at + j).over(rank) for j in range(ranks)])
-        met = here.select("key", "n", "root", ahead.alias("ahead")).select("key", "n", "root", F.explode(F.filter("ahead", lambda x: x.isNotNull())).alias("o"))
-        met = met.select(F.col("key").alias("k"), F.col("n"), "root", F.col("o.key").alias("l"), F.col("o.n").alias("m"), F.col("o.root").alias("other")).where(near)
-        met = cut(met.select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b"), (F.col("root") != F.col("other")).alias("apart")).distinct())
-        if met.isEmpty():
+        now = stored(now.join(mixed, "bucket", "left_semi"), "mixed")
+        if now.isEmpty():
             break
-        fresh = met.where("apart").select("a", "b").join(tried, ["a", "b"], "left_anti")
-        fresh = cut(fresh)
-        if not fresh.isEmpty():
-            more = cut(verify(fresh, texts, least))
-            tried = cut(tried.unionByName(fresh))
-            if not more.isEmpty():
-                links = cut(links.unionByName(more))
-                roots = components(links)
-        at += ranks
+    if roots is None:
+        roots = nodes.select(F.col("key").alias("node"), F.col("key").alias("root")).where("false")
     ids = found.select("doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", F.coalesce("root", "key").alias("root"))
     ids = stored(ids, "ids")
     least_id = ids.groupBy("root").agg(F.min("doc_id").alias("class_id"))
