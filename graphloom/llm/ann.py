@@ -217,8 +217,9 @@ def _search(spark, rows: DataFrame, model: Curves, count: int, window: int, size
         columns = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    v = v.select(*cell, "id", "v")
-    q = q.select(*(F.col(c).alias(f"q_{c}") for c in cell), F.col("id").alias("q_id"), F.col("v").alias("q_v"))
+    # both sides' keys need one type, or equal keys would be dealt to different tasks
+    v = v.select(*(F.col(c).cast("long").alias(c) for c in cell), "id", "v")
+    q = q.select(*(F.col(c).cast("long").alias(f"q_{c}") for c in cell), F.col("id").alias("q_id"), F.col("v").alias("q_v"))
     found = v.groupBy(*cell).cogroup(q.groupBy(*(f"q_{c}" for c in cell))).applyInArrow(meet, "query_id long, vec_id long, score double")
     one = F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("minus"), "vec_id")))
     top = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id").agg(F.slice(one, 1, k).alias("top"))
