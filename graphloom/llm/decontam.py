@@ -27,7 +27,7 @@ named like results are replaced.
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -304,5 +304,37 @@ def _search(docs: DataFrame, shared, text: str, shard_words: int) -> DataFrame:
     return docs.select(*order).mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *RESULTS]))
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without these spans of words, from the first letter of each span to the last."""
+    places = [m.span() for m in WORD.finditer(text)]
+    pieces, done = [], 0
+    for start, end in spans:
+        pieces.append(text[done : places[start][0]])
+        done = places[end - 1][1]
+    return "".join(pieces) + text[done:]
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """docs without the spans of benchmark windows; a document of which no word is left goes, one that had none stays."""
+    keep = list(docs.columns)
+    found = find(docs, benchmark, text, **options)
+    place = found.columns.index(text)
+    at = {c: found.columns.index(c) for c in keep}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count, spans = b.column(b.num_columns - 3).to_pylist(), b.column(b.num_columns - 2).to_pylist()
+            texts = b.column(place).to_pylist()
+            stay = []
+            for k, found_here in enumerate(spans):
+                gone = sum(s["end"] - s["start"] for s in found_here)
+                stay.append(gone == 0 or gone < count[k])
+                if gone and stay[-1]:
+                    texts[k] = cut_out(texts[k], [(s["start"], s["end"]) for s in found_here])
+            columns = [pa.array(texts, pa.string()) if c == text else b.column(at[c]) for c in keep]
+            yield pa.RecordBatch.from_arrays(columns, names=keep).filter(pa.array(stay, pa.bool_()))
+
+    return found.mapInArrow(run, T.StructType([docs.schema[c] for c in keep]))

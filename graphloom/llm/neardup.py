@@ -32,7 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, stored
@@ -190,8 +190,25 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "codes_a", "codes_b").mapInArrow(run, "a binary, b binary")
 
 
-def classes(docs: DataFrame, text: str = "text", least: float = SIMILAR, tables: int = TABLES, take: int = TAKE, rounds: int = 3) -> DataFrame:
+def classes(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """One row for each row of docs: doc_id and class_id, the least doc_id of its class."""
+    ids = grouped(docs, text, **options)
+    return ids.join(ids.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("doc_id", "class_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """docs with one row of each class: the one of the least doc_id (a null id only if there is no other), of repeated rows one."""
+    ids = grouped(docs, text, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    kept = ids.groupBy("root").agg(first.alias("f")).select(F.col("f.key").alias("nd_key"), F.coalesce(F.col("f.doc_id").cast("string"), F.lit("null")).alias("nd_id"))
+    own = docs.withColumn("nd_key", F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))).withColumn("nd_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    left = own.join(kept, ["nd_key", "nd_id"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("nd_key", "nd_id").orderBy("nd_key"))
+    return left.withColumn("nd_nth", nth).where("nd_nth = 1").select(*docs.columns)
+
+
+def grouped(docs: DataFrame, text: str = "text", least: float = SIMILAR, tables: int = TABLES, take: int = TAKE, rounds: int = 3) -> DataFrame:
+    """One row for each row of docs: doc_id, key of the exact text, and root, the least key of its class."""
     found = stored(sketches(docs, text, tables, take), "sketches")
     nodes = found.select("key", "n", "buckets").where("n > 0").dropDuplicates(["key"])
     members = nodes.select("key", "n", F.explode("buckets").alias("bucket"))
@@ -235,7 +252,5 @@ def classes(docs: DataFrame, text: str = "text", least: float = SIMILAR, tables:
             break
     if roots is None:
         roots = nodes.select(F.col("key").alias("node"), F.col("key").alias("root")).where("false")
-    ids = found.select("doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", F.coalesce("root", "key").alias("root"))
-    ids = stored(ids, "ids")
-    least_id = ids.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return ids.join(least_id, "root").select("doc_id", "class_id")
+    ids = found.select("doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+    return stored(ids, "ids")
