@@ -21,6 +21,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import suffix
+
+    return suffix.remove(read(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import pii
 
