@@ -13,7 +13,7 @@ structure (all directions alike) leave only the window of all ranges, which is a
 the query set against all rows in blocks, and exact.
 
 Ranges that hold many rows, such as one vector that a third of all rows have, are dealt
-to several tasks by row, and so are queries; no task holds more than a few thousand of
+to several tasks by row, and so are queries; no task holds more than some ten thousand of
 either, and no candidate is dropped.
 
 Defined results: vectors that are null, zero, of another length than most, or hold
@@ -101,10 +101,10 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
 
 def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its best k (with all that tie) among these rows: place of the query, ids and exact scores."""
-    for start in range(0, len(queries), 256):
-        part = queries[start : start + 256]
+    for start in range(0, len(queries), 64):
+        part = queries[start : start + 64]
         scores = part @ vectors.T
-        scores[query_ids[start : start + 256, None] == ids[None, :]] = -np.inf
+        scores[query_ids[start : start + 64, None] == ids[None, :]] = -np.inf
         if scores.shape[1] > k:
             floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
         else:
@@ -132,7 +132,7 @@ def search(df: DataFrame, is_query: str, k: int = 20, vec_id: str = "vec_id", ve
         return df.sparkSession.createDataFrame([], schema)
     size, total = sizes["size"], sizes["count"]
     rows = rows.where(F.size("v") == size)
-    ranges = ranges or int(min(4096, max(8, total // 2000)))
+    ranges = ranges or int(min(4096, max(8, total // 20_000)))
     share = min(1.0, sample_rows / total * 1.2)
     # the sample is one of hashes, so that it is the same at each run
     mark = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
@@ -184,7 +184,7 @@ def _measure(rows: DataFrame, model: Curves, probes: np.ndarray, probe_ids: np.n
     return cheapest[1], cheapest[2]
 
 
-def _search(spark, rows: DataFrame, model: Curves, count: int, window: int, size: int, k: int, vectors_each: int = 4096, queries_each: int = 2048) -> DataFrame:
+def _search(spark, rows: DataFrame, model: Curves, count: int, window: int, size: int, k: int, vectors_each: int = 32_768, queries_each: int = 4096) -> DataFrame:
     model = Curves(model.project[:count], model.low[:count], model.scale[:count], model.cuts[:count])
     shared = spark.sparkContext.broadcast(model)
 
