@@ -207,49 +207,47 @@ def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     return left.withColumn("nd_nth", nth).where("nd_nth = 1").select(*docs.columns)
 
 
-def grouped(docs: DataFrame, text: str = "text", least: float = SIMILAR, tables: int = TABLES, take: int = TAKE, rounds: int = 3) -> DataFrame:
+def grouped(docs: DataFrame, text: str = "text", least: float = SIMILAR, tables: int = TABLES, take: int = TAKE, rounds: int = 2) -> DataFrame:
     """One row for each row of docs: doc_id, key of the exact text, and root, the least key of its class."""
     found = stored(sketches(docs, text, tables, take), "sketches")
     nodes = found.select("key", "n", "buckets").where("n > 0").dropDuplicates(["key"])
-    members = nodes.select("key", "n", F.explode("buckets").alias("bucket"))
+    members = nodes.select("key", "n", F.posexplode("buckets").alias("table", "bucket"))
     full = members.groupBy("bucket").count().where("count > 1").select("bucket")
     members = stored(members.join(full, "bucket"), "members")
     texts = stored(found.join(members.select("key").distinct(), "key", "left_semi").select("key", "codes").dropDuplicates(["key"]), "texts")
     near = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1
 
     roots: DataFrame | None = None
-    now = members.select("bucket", "key", "n", F.col("key").alias("root"))
-    for turn in range(rounds + 1):
-        last = turn == rounds
-        if last:
+    # first a few tables, so that most of a large class is one class before the others come; then all
+    for turn, upto in enumerate([1, 3, tables // 4, *[tables] * rounds, None]):
+        now = members if upto is None else members.where(F.col("table") < upto)
+        if roots is not None:
+            labels = roots.select(F.col("node").alias("key"), F.col("root").alias("label"))
+            now = now.join(labels, "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("root"))
+            mixed = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+            now = stored(now.join(mixed, "bucket", "left_semi"), "mixed")
+        else:
+            now = now.select("bucket", "key", "n", F.col("key").alias("root"))
+        if upto is None:
             # every pair left of different classes: all members outside a bucket's largest class, against the whole bucket
             sizes = now.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
             few = now.join(sizes, "bucket").where("root != main").select("bucket", F.col("key").alias("k"), F.col("n").alias("m"), F.col("root").alias("other"))
         else:
-            # a member of each bucket, another one each round, meets all the rest
+            # a member of each bucket, another one each turn, meets all the rest
             few = now.groupBy("bucket").agg(F.min_by(F.struct("key", "n", "root"), F.xxhash64("key", F.lit(turn))).alias("o")).select("bucket", F.col("o.key").alias("k"), F.col("o.n").alias("m"), F.col("o.root").alias("other"))
         pairs = now.join(few, "bucket").where((F.col("root") != F.col("other")) & near).select(F.least("key", "k").alias("a"), F.greatest("key", "k").alias("b")).distinct()
         links = stored(verify(pairs, texts, least), "links")
-        if not links.isEmpty():
-            if roots is None:
-                roots = components(links)
-            else:
-                # links of earlier rounds are in the classes; only classes are linked further
-                a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-                over = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()
-                then = components(over)
-                moved = roots.join(then.select(F.col("node").alias("root"), F.col("root").alias("then")), "root", "left").select("node", F.coalesce("then", "root").alias("root"))
-                roots = cut(moved.unionByName(then.join(roots.select("node"), "node", "left_anti")))
-        if roots is None or last:
-            if roots is None and not last:
-                continue
-            break
-        labels = roots.select(F.col("node").alias("key"), F.col("root").alias("label"))
-        now = members.join(labels, "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("root"))
-        mixed = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-        now = stored(now.join(mixed, "bucket", "left_semi"), "mixed")
-        if now.isEmpty():
-            break
+        if links.isEmpty():
+            continue
+        if roots is None:
+            roots = components(links)
+            continue
+        # links of earlier turns are in the classes; only classes are linked further
+        a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        over = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()
+        then = components(over)
+        moved = roots.join(then.select(F.col("node").alias("root"), F.col("root").alias("then")), "root", "left").select("node", F.coalesce("then", "root").alias("root"))
+        roots = cut(moved.unionByName(then.join(roots.select("node"), "node", "left_anti")))
     if roots is None:
         roots = nodes.select(F.col("key").alias("node"), F.col("key").alias("root")).where("false")
     ids = found.select("doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))

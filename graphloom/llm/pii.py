@@ -203,7 +203,7 @@ def discover(docs: DataFrame, found: DataFrame, text: str, support: int, trust:
     totals = cut(count_patterns(docs, text, able))
     edges = seen.join(able, "pattern").groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.max("fits").alias("fits"), F.count("*").alias("times"))
     kinds = F.explode(F.array(*[F.lit(k) for k in range(len(KINDS))]))
-    graph = cut(edges.withColumn("of", kinds).where((F.col("kind") == F.col("of")) | (F.col("kind").isNull() & (F.col("fits").bitwiseAND(F.shiftleft(F.lit(1), F.col("of"))) > 0)) | F.col("kind").isNotNull()))
+    graph = cut(edges.withColumn("of", kinds).where((F.col("kind") == F.col("of")) | (F.col("kind").isNull() & (F.col("fits").bitwiseAND(F.expr("shiftleft(1, of)")) > 0)) | F.col("kind").isNotNull()))
     scores = graph.groupBy("instance", "of").agg(F.max(F.when(F.col("kind") == F.col("of"), 1.0).otherwise(0.0)).alias("r"))
     trusted = None
     for _ in range(rounds):
@@ -213,7 +213,7 @@ def discover(docs: DataFrame, found: DataFrame, text: str, support: int, trust:
         # an instance: seeds keep 1, others the trust of their patterns together
         scores = cut(graph.join(trusted, ["pattern", "of"]).groupBy("instance", "of").agg(F.max(F.when(F.col("kind") == F.col("of"), 1.0).otherwise(0.0)).alias("seed"), F.avg("p").alias("p")).select("instance", "of", F.greatest("seed", "p").alias("r")))
     sure = trusted.where(F.col("p") >= trust).select("pattern", "of", "p")
-    new = seen.where("kind IS NULL").join(sure, "pattern").where(F.col("fits").bitwiseAND(F.shiftleft(F.lit(1), F.col("of"))) > 0)
+    new = seen.where("kind IS NULL").join(sure, "pattern").where(F.col("fits").bitwiseAND(F.expr("shiftleft(1, of)")) > 0)
     best = new.groupBy("key", "start", "end").agg(F.max_by("of", F.struct("p", -F.col("of"))).alias("kind"))
     return best.select("key", "start", "kind", "end")
 
