@@ -131,10 +131,14 @@ def longest_chain(b: np.ndarray) -> int:
     return len(tails)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
-    """Of two texts' word codes: by banded alignment of labelled k-mers, or the Jaccard similarity if that is what reaches least."""
-    pa_, pb = kmers(a), kmers(b)
-    ma, mb = labelled(pa_), labelled(pb)
+def prepared(codes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    plain = kmers(np.frombuffer(codes, np.uint32))
+    return plain, labelled(plain)
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: float = SIMILAR) -> float:
+    """Of two prepared texts: by banded alignment of labelled k-mers, or the Jaccard similarity if that is what reaches least."""
+    (pa_, ma), (pb, mb) = a, b
     _, ia, ib = np.intersect1d(ma, mb, assume_unique=True, return_indices=True)
     total = len(ma) + len(mb)
     if not total:
@@ -184,7 +188,7 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 rows = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
-                fine = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), least) >= least for x, y in rows]
+                fine = [similarity(prepared(x), prepared(y), least) >= least for x, y in rows]
                 yield part.select([0, 1]).filter(pa.array(fine, pa.bool_()))
 
     return pairs.join(b, "b").join(a, "a").select("a", "b", "codes_a", "codes_b").mapInArrow(run, "a binary, b binary")
@@ -214,7 +218,7 @@ def grouped(docs: DataFrame, text: str = "text", least: float = SIMILAR, tables:
     members = nodes.select("key", "n", F.posexplode("buckets").alias("table", "bucket"))
     full = members.groupBy("bucket").count().where("count > 1").select("bucket")
     members = stored(members.join(full, "bucket"), "members")
-    texts = stored(found.join(members.select("key").distinct(), "key", "left_semi").select("key", "codes").dropDuplicates(["key"]), "texts")
+    texts = stored(found.join(members.select("key").distinct(), "key", "left_semi").select("key", "codes", "buckets").dropDuplicates(["key"]), "texts")
     near = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1
 
     roots: DataFrame | None = None
