@@ -5,11 +5,307 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom.functions import scalars as S
+from graphloom.operators import diagnostics as D
+from graphloom.operators import graphs as G
+from graphloom.operators import semantic as V
+from graphloom.sources import views
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, graph: str | None = None, sql: str | None = None) -> Callable:
+    """Register a query over a graph's nodes and edges, or over the tables; sql sees the same nodes and edges."""
+
+    def put(f: Callable) -> Callable:
+        QUERIES[name] = (lambda spark, d: f(*views.graph(spark, d, graph))) if graph else f
+        if sql:
+            ORACLES[name] = views.oracle(graph, sql) if graph else sql
+        return f
+
+    return put
+
+
+def rnd(x: str, digits: int = 4) -> str:
+    return f"sign({x}) * floor(abs({x}) * 1{'0' * digits}.0 + 0.5) / 1{'0' * digits}.0"
+
+
+def nations(nodes: DataFrame) -> DataFrame:
+    """The partition by the first two segments, of nodes that have three."""
+    return nodes.where("kind IN ('class', 'function')").select("id", F.substring_index("id", ".", 2).alias("module"))
+
+
+ASSIGN = "assign AS (SELECT id, split_part(id, '.', 1) || '.' || split_part(id, '.', 2) AS module FROM nodes WHERE kind IN ('class', 'function'))"
+CLEAN = "SELECT e.* FROM edges e WHERE source <> target AND source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)"
+DEGREES = f"""clean AS ({CLEAN}), deg AS (SELECT id, (SELECT count(*) FROM clean c WHERE c.target = n.id AND kind <> 'defines') AS in_degree, (SELECT count(*) FROM clean c WHERE c.source = n.id AND kind <> 'defines') AS out_degree,
+ (SELECT count(*) FROM clean c WHERE c.source = n.id OR c.target = n.id) AS full_degree FROM (SELECT DISTINCT id FROM nodes) n)"""
+
+
+def more(ctes: str, select: str) -> str:
+    """More common tables after nodes and edges."""
+    return f", {ctes} {select}"
+
+
+@query("agg_module_dependencies", "supply", more(ASSIGN, "SELECT a.module AS source_module, b.module AS target_module, kind, count(*) AS n FROM edges JOIN assign a ON source = a.id JOIN assign b ON target = b.id WHERE kind <> 'defines' AND a.module <> b.module GROUP BY ALL"))
+def _(nodes, edges):
+    return G.module_dependencies(edges, nations(nodes))
+
+
+@query("filter_edge_kinds", "supply", "SELECT kind, count(*) AS n FROM edges WHERE kind IN ('calls', 'imports') GROUP BY kind")
+def _(nodes, edges):
+    return G.of_kinds(edges, ("calls", "imports")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("filter_dangling_edges", "supply", f"SELECT kind, count(*) AS n FROM ({CLEAN}) c GROUP BY kind")
+def _(nodes, edges):
+    return G.without_dangling(nodes, edges).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("filter_node_scope", "supply", "SELECT id, kind, file FROM nodes WHERE starts_with(file, 'ASIA') OR starts_with(file, 'EUROPE/')")
+def _(nodes, edges):
+    return G.in_scope(nodes, ("ASIA", "EUROPE/"))
+
+
+@query("owning_module", "supply", "SELECT DISTINCT n.id, coalesce((SELECT arg_max(m.id, length(m.id)) FROM nodes m WHERE m.kind = 'module' AND starts_with(n.id, m.id || '.')), split_part(n.id, '.', 1)) AS module FROM nodes n")
+def _(nodes, edges):
+    return G.owning_modules(nodes)
+
+
+@query("project_graph", "supply", more("own AS (SELECT DISTINCT n.id, coalesce((SELECT arg_max(m.id, length(m.id)) FROM nodes m WHERE m.kind = 'module' AND starts_with(n.id, m.id || '.')), split_part(n.id, '.', 1)) AS module FROM nodes n)", "SELECT a.module AS source, b.module AS target, kind, count(*) AS n FROM edges JOIN own a ON source = a.id JOIN own b ON target = b.id WHERE a.module <> b.module GROUP BY ALL"))
+def _(nodes, edges):
+    return G.project(nodes, edges, "module")[1].groupBy("source", "target", "kind").agg(F.count("*").alias("n"))
+
+
+@query("lift_node_id", "supply", "SELECT split_part(id, '.', 1) AS id, count(DISTINCT id) AS members FROM nodes GROUP BY split_part(nodes.id, '.', 1)")
+def _(nodes, edges):
+    return G.project(nodes, edges, "package")[0]
+
+
+@query("agg_self_edge_ratio", "supply", "SELECT count(*) AS scoped, CAST(sum(CASE WHEN split_part(source, '.', 1) = split_part(target, '.', 1) THEN 1 ELSE 0 END) AS BIGINT) AS self_edges FROM edges")
+def _(nodes, edges):
+    return G.self_edge_ratio(nodes, edges, "package")
+
+
+@query("detect_packages", "supply", "SELECT id FROM nodes WHERE kind = 'module' AND strpos(id, '.') = 0")
+def _(nodes, edges):
+    return nodes.where("kind = 'module' AND instr(id, '.') = 0").select("id")
+
+
+@query("node_type_index", "supply", "SELECT id, CASE lower(kind) WHEN 'function' THEN 0 WHEN 'module' THEN 1 WHEN 'class' THEN 2 WHEN 'interface' THEN 3 ELSE 4 END AS node_type FROM nodes")
+def _(nodes, edges):
+    return nodes.select("id", S.node_type_index(F.col("kind")).alias("node_type"))
+
+
+@query("agg_counts_by_kind", "supply", "SELECT kind, count(*) AS n FROM nodes GROUP BY kind")
+def _(nodes, edges):
+    return nodes.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("agg_degrees", "supp", more(DEGREES, "SELECT id, in_degree, out_degree FROM deg"))
+def _(nodes, edges):
+    return G.degrees(nodes, edges)
+
+
+@query("agg_full_degrees", "supp", more(DEGREES, "SELECT id, full_degree FROM deg"))
+def _(nodes, edges):
+    return G.degrees(nodes, edges, None).select("id", (F.col("in_degree") + F.col("out_degree")).alias("full_degree"))
+
+
+@query("layer_weight", "supply", f"SELECT least(source, target) AS a, greatest(source, target) AS b, {rnd('sum(CASE kind WHEN $$calls$$ THEN 1.0 WHEN $$imports$$ THEN 0.5 ELSE 0.8 END)')} AS weight FROM edges WHERE source <> target AND kind <> 'defines' GROUP BY 1, 2")
+def _(nodes, edges):
+    return G.symmetric_weights(edges).withColumn("weight", S.rounded(F.col("weight")))
+
+
+@query("agg_modularity_q", "supply", more(ASSIGN + ", e AS (SELECT a.module AS sm, b.module AS tm FROM edges LEFT JOIN assign a ON source = a.id LEFT JOIN assign b ON target = b.id WHERE kind <> 'defines' AND source <> target), t AS (SELECT count(*) AS m FROM e), c AS (SELECT c, count(*) AS d, sum(i) AS i FROM (SELECT sm AS c, CASE WHEN sm = tm THEN 1 ELSE 0 END AS i FROM e UNION ALL SELECT tm, 0 FROM e) x WHERE c IS NOT NULL GROUP BY c)", f"SELECT {rnd('sum(i / m - power(d / (2.0 * m), 2))')} AS q FROM c, t"))
+def _(nodes, edges):
+    return G.modularity(edges, nations(nodes)).select(S.rounded(F.col("q")).alias("q"))
+
+
+WIDTH = "w AS (SELECT a.module AS s, b.module AS t, source, target FROM edges JOIN assign a ON source = a.id JOIN assign b ON target = b.id WHERE kind <> 'defines' AND a.module <> b.module), tg AS (SELECT s, t, target, count(*) AS n, count(DISTINCT source) AS w FROM w GROUP BY ALL), iw AS (SELECT s AS source_module, t AS target_module, CAST(sum(w) AS BIGINT) AS width, CAST(sum(n) AS BIGINT) AS n_edges, CAST(max(n) AS BIGINT) AS max_target FROM tg GROUP BY ALL)"
+
+
+@query("agg_distinct_pairs", "supply", more(f"{ASSIGN}, {WIDTH}", "SELECT * FROM iw"))
+def _(nodes, edges):
+    return G.interface_width(edges, nations(nodes))
+
+
+FENCE = "f AS (SELECT CAST(floor(q[2] + 1.5 * (q[2] - q[1])) AS BIGINT) AS fence, n FROM (SELECT quantile_cont(CAST(width AS DOUBLE), [0.25, 0.75]) AS q, count(*) AS n FROM iw) x)"
+SEV = "least(1.0, (0.5 * least(1.0, greatest(0.0, (a.width - fence) / greatest(fence, 1))) + 0.3 * (1 - least(a.width, coalesce(b.width, 0)) / greatest(a.width, coalesce(b.width, 0))) + 0.2 * least(1.0, a.max_target / a.width)) * CASE WHEN coalesce(b.width, 0) > fence THEN 1.3 ELSE 1.0 END * CASE WHEN split_part(a.source_module, '.', 1) = split_part(a.target_module, '.', 1) THEN 0.7 ELSE 1.0 END)"
+
+
+@query("issue_wide_interface", "supply", more(f"{ASSIGN}, {WIDTH}, {FENCE}", f"SELECT a.source_module, a.target_module, a.width, coalesce(b.width, 0) AS reverse, {rnd(SEV)} AS severity FROM iw a LEFT JOIN iw b ON a.source_module = b.target_module AND a.target_module = b.source_module, f WHERE n >= 6 AND a.width > fence"))
+def _(nodes, edges):
+    return D.wide_interfaces(edges, nations(nodes)).select("source_module", "target_module", "width", "reverse", S.rounded(F.col("severity")).alias("severity"))
+
+
+@query("agg_caller_diversity", "supply", more(ASSIGN, "SELECT target AS id, count(DISTINCT a.module) AS callers FROM edges JOIN assign a ON source = a.id WHERE kind = 'calls' GROUP BY target"))
+def _(nodes, edges):
+    callers = edges.where("kind = 'calls'").join(nations(nodes).withColumnRenamed("id", "source"), "source").select("target", "module").distinct()
+    return callers.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("callers"))
+
+
+@query("join_reverse_pair", "supply", more(ASSIGN, "SELECT least(a.module, b.module) AS a, greatest(a.module, b.module) AS b, CAST(sum(CASE WHEN a.module < b.module THEN 1 ELSE 0 END) AS BIGINT) AS forward, CAST(sum(CASE WHEN a.module > b.module THEN 1 ELSE 0 END) AS BIGINT) AS backward FROM edges JOIN assign a ON source = a.id JOIN assign b ON target = b.id WHERE kind <> 'defines' AND a.module <> b.module GROUP BY 1, 2"))
+def _(nodes, edges):
+    return D.direction(edges, nations(nodes)).drop("significant")
+
+
+@query("agg_package_composition", "supply", "SELECT split_part(id, '.', 2) AS module, split_part(id, '.', 1) AS package, count(*) AS n FROM nodes WHERE kind = 'class' GROUP BY ALL")
+def _(nodes, edges):
+    return nodes.where("kind = 'class'").groupBy(F.split_part("id", F.lit("."), F.lit(2)).alias("module"), S.package_of(F.col("id")).alias("package")).agg(F.count("*").alias("n"))
+
+
+NMI_SQL = "t AS (SELECT a, b, count(*) AS n FROM (SELECT split_part(id, '.', 1) AS a, length(id) % 3 AS b FROM nodes) x GROUP BY ALL), p AS (SELECT n / sum(n) OVER () AS p, sum(n) OVER (PARTITION BY a) / sum(n) OVER () AS pa, sum(n) OVER (PARTITION BY b) / sum(n) OVER () AS pb FROM t), s AS (SELECT sum(p * ln(p / (pa * pb))) AS mi, -sum(p * ln(pa)) AS ha, -sum(p * ln(pb)) AS hb FROM p)"
+
+
+@query("agg_nmi", "supply", more(NMI_SQL, f"SELECT {rnd('least(1.0, greatest(0.0, 2 * mi / (ha + hb)))')} AS nmi FROM s"))
+def _(nodes, edges):
+    left = nodes.select("id", S.package_of(F.col("id")).alias("label"))
+    return G.nmi(left, nodes.select("id", (F.length("id") % 3).alias("label"))).select(S.rounded(F.col("nmi")).alias("nmi"))
+
+
+TREE = "p AS (SELECT target AS id, max(source) AS parent FROM edges WHERE kind = 'defines' AND source <> target GROUP BY target), up AS (SELECT id, parent AS anc, 1 AS d FROM p UNION ALL SELECT up.id, p.parent, d + 1 FROM up JOIN p ON up.anc = p.id), dep AS (SELECT id, max(d) AS depth FROM up GROUP BY id), sub AS (SELECT anc AS id, count(*) AS subtree FROM up GROUP BY anc), sib AS (SELECT id, row_number() OVER (PARTITION BY parent ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY parent) AS n FROM p)"
+
+
+@query("tree_features", "supply", more(TREE, "SELECT n.id, CAST(coalesce(depth, 0) AS BIGINT) AS depth, CAST(coalesce(i, 0) AS BIGINT) AS sibling_index, coalesce(subtree, 0) AS subtree, coalesce(sib.n, 0) AS siblings FROM (SELECT DISTINCT id FROM nodes) n LEFT JOIN dep USING (id) LEFT JOIN sub USING (id) LEFT JOIN sib USING (id)"))
+def _(nodes, edges):
+    return G.tree_features(nodes, edges)
+
+
+REACH = "st AS (SELECT DISTINCT source, target FROM edges WHERE source <> target), r AS (SELECT source, target, 1 AS d FROM st UNION SELECT r.source, st.target, d + 1 FROM r JOIN st ON r.target = st.source WHERE d < {k} AND r.source <> st.target)"
+
+
+@query("bfs_distance", "supp", more(REACH.format(k=4), "SELECT source, target, min(d) AS d FROM r GROUP BY source, target"))
+def _(nodes, edges):
+    return G.reach(edges, 4)
+
+
+@query("scc_tarjan", "events", more(REACH.format(k=6), ", x AS (SELECT DISTINCT source, target FROM r) SELECT a.source AS id, least(min(a.target), a.source) AS component FROM x a JOIN x b ON a.source = b.target AND a.target = b.source GROUP BY a.source"))
+def _(nodes, edges):
+    return D.mutual_reach(G.reach(edges, 6).select("source", "target"))
+
+
+@query("rwpe", "supp", more("b AS (SELECT source, target, count(*) AS w FROM (SELECT source, target FROM edges WHERE source <> target UNION ALL SELECT target, source FROM edges WHERE source <> target) x GROUP BY ALL), p AS (SELECT source, target, w / sum(w) OVER (PARTITION BY source) AS p FROM b)", f"SELECT a.source AS id, {rnd('sum(a.p * c.p)')} AS p2 FROM p a JOIN p c ON a.source = c.target AND a.target = c.source GROUP BY a.source"))
+def _(nodes, edges):
+    return G.rwpe2(edges).select("id", S.rounded(F.col("p2")).alias("p2"))
+
+
+@query("win_percentile_ranks", "supp", more(DEGREES, f"SELECT id, {rnd('percent_rank() OVER (ORDER BY in_degree)')} AS rank FROM deg"))
+def _(nodes, edges):
+    return G.percentile_ranks(G.degrees(nodes, edges), "in_degree").select("id", S.rounded(F.col("rank")).alias("rank"))
+
+
+ROLE_SQL = """d AS (SELECT *, in_degree + out_degree AS degree, CASE WHEN in_degree + out_degree > 0 THEN (out_degree - in_degree) / (in_degree + out_degree) ELSE 0.0 END AS lean FROM deg),
+ h AS (SELECT q[2] + 1.5 * (q[2] - q[1]) AS hub FROM (SELECT quantile_cont(CAST(degree AS DOUBLE), [0.25, 0.75]) AS q FROM d) x),
+ l AS (SELECT greatest(0.5, least(0.9, q[2] + 1.5 * (q[2] - q[1]))) AS lf FROM (SELECT quantile_cont(abs(lean), [0.25, 0.75]) AS q FROM d WHERE degree > 0) x),
+ m AS (SELECT floor(greatest(avg(degree) - stddev_pop(degree), 2.0)) AS least_d FROM d), z AS (SELECT *, percent_rank() OVER (ORDER BY degree) AS pr FROM d)"""
+
+
+@query("classify_roles", "supp", more(f"{DEGREES}, {ROLE_SQL}", "SELECT id, CASE WHEN full_degree = 0 THEN 'orphan' WHEN degree = 0 THEN 'regular' WHEN degree >= least_d AND lean <= -lf THEN 'utility' WHEN degree >= least_d AND lean >= lf THEN 'entry_point' WHEN pr >= 0.9 AND degree >= hub AND abs(lean) < lf THEN 'hub' ELSE 'regular' END AS role FROM z, h, l, m"))
+def _(nodes, edges):
+    return D.roles(nodes, edges)
+
+
+@query("win_tukey_fences", None, f"SELECT {rnd('q[1]')} AS q1, {rnd('q[2]')} AS median, {rnd('q[3]')} AS q3, {rnd('q[3] + 1.5 * (q[3] - q[1])')} AS upper_fence, {rnd('q[1] - 1.5 * (q[3] - q[1])')} AS lower_fence FROM (SELECT quantile_cont(s_acctbal, [0.25, 0.5, 0.75]) AS q FROM supplier) x")
+def _(spark, d):
+    q = D.quartiles(views.table(spark, d, "supplier"), "s_acctbal")
+    return q.select(*[S.rounded(F.col(c)).alias(c) for c in q.columns])
+
+
+@query("win_mean_median_std", None, f"SELECT s_nationkey, {rnd('avg(s_acctbal)')} AS mean, {rnd('median(s_acctbal)')} AS median, {rnd('stddev_pop(s_acctbal)')} AS sd FROM supplier GROUP BY s_nationkey")
+def _(spark, d):
+    return views.table(spark, d, "supplier").groupBy("s_nationkey").agg(S.rounded(F.avg("s_acctbal")).alias("mean"), S.rounded(F.median("s_acctbal")).alias("median"), S.rounded(F.stddev_pop("s_acctbal")).alias("sd"))
+
+
+@query("win_org_cap", None, "SELECT c_custkey, c_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer) x WHERE k <= 8")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    return views.table(spark, d, "customer").withColumn("k", k).where("k <= 8").select("c_custkey", "c_nationkey")
+
+
+@query("fn_tokenize_id", None, None)
+def _(spark, d):
+    return views.table(spark, d, "part").select("p_partkey", F.array_join(S.tokens_of(F.replace("p_name", F.lit(" "), F.lit("_"))), " ").alias("tokens"))
+
+
+@query("fn_date_distance", None, "SELECT o_orderkey, CAST(abs((year(o_orderdate) * 365 + month(o_orderdate) * 30 + day(o_orderdate)) - (1995 * 365 + 6 * 30 + 17)) AS INTEGER) AS days FROM orders")
+def _(spark, d):
+    return views.table(spark, d, "orders").select("o_orderkey", S.date_distance(F.col("o_orderdate"), F.lit("1995-06-17").cast("date")).alias("days"))
+
+
+@query("fn_labels", None, "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity / 50 >= 0.75 THEN 'high' WHEN l_quantity / 50 >= 0.45 THEN 'medium' ELSE 'low' END AS label FROM lineitem")
+def _(spark, d):
+    return views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.severity_label(F.col("l_quantity") / 50).alias("label"))
+
+
+VECTORS = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+
+
+@query("fn_cosine", None, f"WITH {VECTORS} SELECT a.vec_id AS a, b.vec_id AS b, {rnd('list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))')} AS cosine FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")
+def _(spark, d):
+    v = views.table(spark, d, "embeddings")
+    b = v.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("other"))
+    return v.select(F.col("vec_id").alias("a"), "embedding").join(b, "a").select("a", "b", S.rounded(S.cosine(F.col("embedding"), F.col("other"))).alias("cosine"))
+
+
+@query("agg_module_centroids", None, f"SELECT module, pos, {rnd('avg(x)')} AS mean FROM (SELECT label AS module, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) t GROUP BY module, pos")
+def _(spark, d):
+    v = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("module"), F.col("embedding").alias("vector"))
+    return V.centroids(v).select("module", F.col("pos").cast("long").alias("pos"), S.rounded(F.col("mean")).alias("mean"))
+
+
+@query("module_coherence", None, f"WITH {VECTORS} SELECT a.label AS module, CAST(any_value(n) AS BIGINT) AS n, {rnd('avg(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))))')} AS coherence FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id JOIN (SELECT label, count(*) AS n FROM v GROUP BY label) c ON a.label = c.label GROUP BY a.label HAVING any_value(n) >= 6")
+def _(spark, d):
+    v = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("module"), F.col("embedding").alias("vector"))
+    return V.coherence(v).select("module", "n", S.rounded(F.col("coherence")).alias("coherence"))
+
+
+TERMS = "t AS (SELECT lang AS module, w AS term, count(*) AS c FROM (SELECT lang, unnest(string_split(lower(text), ' ')) AS w FROM documents) x WHERE length(w) > 1 GROUP BY ALL), s AS (SELECT module, term, c / sum(c) OVER (PARTITION BY module) * ln((SELECT count(DISTINCT module) FROM t) / count(*) OVER (PARTITION BY term)) AS v, ln((SELECT count(DISTINCT module) FROM t) / count(*) OVER (PARTITION BY term)) AS idf FROM t), k AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY v DESC, term) AS rank FROM s WHERE idf >= 0.01)"
+
+
+@query("top_terms", None, f"WITH {TERMS} SELECT module, term, CAST(rank AS INTEGER) AS rank, {rnd('v', 6)} AS tfidf FROM k WHERE rank <= 5")
+def _(spark, d):
+    words = views.table(spark, d, "documents").select(F.col("lang").alias("module"), F.explode(F.split(F.lower("text"), " ")).alias("term")).where("length(term) > 1")
+    return V.top_terms(words, 5).withColumn("tfidf", S.rounded(F.col("tfidf"), 6))
+
+
+@query("set_dedup_edges", "supply", "SELECT DISTINCT source, target, kind FROM edges")
+def _(nodes, edges):
+    return edges.dropDuplicates(["source", "target", "kind"])
+
+
+@query("join_anti_edges", "supp", "SELECT source, target, kind FROM edges WHERE (source, target) NOT IN (SELECT target, source FROM edges)")
+def _(nodes, edges):
+    gone = edges.select(F.col("target").alias("source"), F.col("source").alias("target")).distinct()
+    return edges.join(gone, ["source", "target"], "left_anti").select("source", "target", "kind")
+
+
+@query("mutate_inject_cycle", "supp", more("m AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM nodes)", "SELECT source, target, kind FROM edges UNION ALL SELECT a.id, b.id, 'calls' FROM m a JOIN m b ON b.k = a.k % 3 + 1 WHERE a.k <= 3"))
+def _(nodes, edges):
+    from pyspark.sql import Window
+
+    ring = nodes.select("id").orderBy("id").limit(3).withColumn("k", F.row_number().over(Window.orderBy("id")))
+    to = ring.select(F.col("id").alias("target"), F.when(F.col("k") == 1, 3).otherwise(F.col("k") - 1).alias("k"))
+    return edges.unionByName(ring.join(to, "k").select(F.col("id").alias("source"), "target", F.lit("calls").alias("kind")))
+
+
+@query("set_jaccard", "supp", more("o AS (SELECT DISTINCT source, target FROM edges), n AS (SELECT source, count(*) AS n FROM o GROUP BY source), x AS (SELECT a.source AS a, b.source AS b, count(*) AS both_n FROM o a JOIN o b ON a.target = b.target AND a.source < b.source GROUP BY ALL)", f"SELECT a, b, {rnd('both_n / (p.n + q.n - both_n)')} AS jaccard FROM x JOIN n p ON a = p.source JOIN n q ON b = q.source"))
+def _(nodes, edges):
+    own = edges.select("source", "target").distinct()
+    n = own.groupBy("source").agg(F.count("*").alias("n"))
+    pairs = own.select(F.col("source").alias("a"), "target").join(own.select(F.col("source").alias("b"), "target"), "target").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    out = pairs.join(n.select(F.col("source").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("source").alias("b"), F.col("n").alias("nb")), "b")
+    return out.select("a", "b", S.rounded(F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
