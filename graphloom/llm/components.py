@@ -20,11 +20,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root")))
-        if up.isEmpty():
-            break
         while True:
-            over = up.select(F.col("node").alias("root"), F.col("root").alias("further"))
-            jumped = cut(up.join(over, "root").select("node", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")))
+            once, twice = (up.select(F.col("node").alias(f"root{k}"), F.col("root").alias(f"root{k + 1}")) for k in (0, 1))
+            jumped = cut(up.withColumnRenamed("root", "root0").join(once, "root0").join(twice, "root1").select("node", F.col("root2").alias("root"), (F.col("root2") != F.col("root0")).alias("moved")))
             up = jumped.select("node", "root")
             if jumped.where("moved").isEmpty():
                 break
@@ -36,7 +34,5 @@ def components(edges: DataFrame) -> DataFrame:
         a = up.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         left = cut(left.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a != b").distinct())
-        found = cut(found)
         if left.isEmpty():
-            break
-    return found if found is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return cut(found)

@@ -211,7 +211,7 @@ def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     return left.withColumn("nd_nth", nth).where("nd_nth = 1").select(*docs.columns)
 
 
-def grouped(docs: DataFrame, text: str = "text", least: float = SIMILAR, tables: int = TABLES, take: int = TAKE, rounds: int = 2) -> DataFrame:
+def grouped(docs: DataFrame, text: str = "text", least: float = SIMILAR, tables: int = TABLES, take: int = TAKE, rounds: int = 1) -> DataFrame:
     """One row for each row of docs: doc_id, key of the exact text, and root, the least key of its class."""
     found = stored(sketches(docs, text, tables, take), "sketches")
     nodes = found.select("key", "n", "buckets").where("n > 0").dropDuplicates(["key"])
@@ -223,7 +223,7 @@ def grouped(docs: DataFrame, text: str = "text", least: float = SIMILAR, tables:
 
     roots: DataFrame | None = None
     # first a few tables, so that most of a large class is one class before the others come; then all
-    for turn, upto in enumerate([1, 3, tables // 4, *[tables] * rounds, None]):
+    for turn, upto in enumerate([2, tables // 4, *[tables] * rounds, None]):
         now = members if upto is None else members.where(F.col("table") < upto)
         if roots is not None:
             labels = roots.select(F.col("node").alias("key"), F.col("root").alias("label"))
