@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,10 +19,10 @@ def components(edges: DataFrame) -> DataFrame:
     found: DataFrame | None = None
     while True:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root")))
+        up = stored(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root")), "least")
         while True:
             once, twice = (up.select(F.col("node").alias(f"root{k}"), F.col("root").alias(f"root{k + 1}")) for k in (0, 1))
-            jumped = cut(up.withColumnRenamed("root", "root0").join(once, "root0").join(twice, "root1").select("node", F.col("root2").alias("root"), (F.col("root2") != F.col("root0")).alias("moved")))
+            jumped = stored(up.withColumnRenamed("root", "root0").join(once, "root0").join(twice, "root1").select("node", F.col("root2").alias("root"), (F.col("root2") != F.col("root0")).alias("moved")), "jumped")
             up = jumped.select("node", "root")
             if jumped.where("moved").isEmpty():
                 break
@@ -33,6 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
             found = found.join(then, "root", "left").select("node", F.coalesce("then", "root").alias("root"))
         a = up.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        left = cut(left.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a != b").distinct())
+        left = stored(left.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a != b").distinct(), "left")
         if left.isEmpty():
-            return cut(found)
+            return stored(found, "roots")

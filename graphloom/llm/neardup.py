@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, stored
+from graphloom.llm.common import stored
 from graphloom.llm.components import components
 from graphloom.llm.decontam import words as ascii_words
 
@@ -223,7 +223,7 @@ def grouped(docs: DataFrame, text: str = "text", least: float = SIMILAR, tables:
 
     roots: DataFrame | None = None
     # first a few tables, so that most of a large class is one class before the others come; then all
-    for turn, upto in enumerate([2, tables // 4, *[tables] * rounds, None]):
+    for turn, upto in enumerate([3, *[tables] * rounds, None]):
         now = members if upto is None else members.where(F.col("table") < upto)
         if roots is not None:
             labels = roots.select(F.col("node").alias("key"), F.col("root").alias("label"))
@@ -251,7 +251,7 @@ def grouped(docs: DataFrame, text: str = "text", least: float = SIMILAR, tables:
         over = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()
         then = components(over)
         moved = roots.join(then.select(F.col("node").alias("root"), F.col("root").alias("then")), "root", "left").select("node", F.coalesce("then", "root").alias("root"))
-        roots = cut(moved.unionByName(then.join(roots.select("node"), "node", "left_anti")))
+        roots = stored(moved.unionByName(then.join(roots.select("node"), "node", "left_anti")), "roots")
     if roots is None:
         roots = nodes.select(F.col("key").alias("node"), F.col("key").alias("root")).where("false")
     ids = found.select("doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
