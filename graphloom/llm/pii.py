@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import cut, stored
+from graphloom.llm.common import stored
 
 # The kinds, in the order that breaks ties of place.
 KINDS = ("email", "ip", "card", "phone")
@@ -197,28 +197,28 @@ def discover(docs: DataFrame, found: DataFrame, text: str, support: int, trust:
     nothing = seen.select("key", "start", F.lit(0).alias("kind"), "end").where("false")
     seeds = seen.where("kind IS NOT NULL")
     able = seeds.groupBy("pattern").agg(F.count_distinct("instance").alias("n")).where(F.col("n") >= support).select("pattern")
-    able = cut(able)
+    able = stored(able, "able")
     if able.isEmpty():
         return nothing
-    totals = cut(count_patterns(docs, text, able))
+    totals = stored(count_patterns(docs, text, able), "totals")
     edges = seen.join(able, "pattern").groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.max("fits").alias("fits"), F.count("*").alias("times"))
     kinds = F.explode(F.array(*[F.lit(k) for k in range(len(KINDS))]))
-    graph = cut(edges.withColumn("of", kinds).where((F.col("kind") == F.col("of")) | (F.col("kind").isNull() & (F.col("fits").bitwiseAND(F.expr("shiftleft(1, of)")) > 0)) | F.col("kind").isNotNull()))
+    graph = stored(edges.join(totals, "pattern").withColumn("of", kinds).where((F.col("kind") == F.col("of")) | (F.col("kind").isNull() & (F.col("fits").bitwiseAND(F.expr("shiftleft(1, of)")) > 0)) | F.col("kind").isNotNull()), "graph")
     scores = graph.groupBy("instance", "of").agg(F.max(F.when(F.col("kind") == F.col("of"), 1.0).otherwise(0.0)).alias("r"))
     trusted = None
     for _ in range(rounds):
         # a pattern: the trusted share of what follows it, each instance once, and of all its occurrences
-        weighed = graph.join(scores, ["instance", "of"]).groupBy("pattern", "of").agg(F.sum("r").alias("good"), F.count("*").alias("all"), F.sum(F.col("r") * F.col("times")).alias("hits"))
-        trusted = cut(weighed.join(totals, "pattern").select("pattern", "of", F.least(F.col("good") / (F.col("all") + 1), F.col("hits") / F.greatest("total", "hits")).alias("p")))
+        weighed = graph.join(scores, ["instance", "of"]).groupBy("pattern", "of").agg(F.sum("r").alias("good"), F.count("*").alias("all"), F.sum(F.col("r") * F.col("times")).alias("hits"), F.max("total").alias("total"))
+        trusted = stored(weighed.select("pattern", "of", F.least(F.col("good") / (F.col("all") + 1), F.col("hits") / F.greatest("total", "hits")).alias("p")), "trusted")
         # an instance: seeds keep 1, others the trust of their patterns together
-        scores = cut(graph.join(trusted, ["pattern", "of"]).groupBy("instance", "of").agg(F.max(F.when(F.col("kind") == F.col("of"), 1.0).otherwise(0.0)).alias("seed"), F.avg("p").alias("p")).select("instance", "of", F.greatest("seed", "p").alias("r")))
+        scores = stored(graph.join(trusted, ["pattern", "of"]).groupBy("instance", "of").agg(F.max(F.when(F.col("kind") == F.col("of"), 1.0).otherwise(0.0)).alias("seed"), F.avg("p").alias("p")).select("instance", "of", F.greatest("seed", "p").alias("r")), "scores")
     sure = trusted.where(F.col("p") >= trust).select("pattern", "of", "p")
     new = seen.where("kind IS NULL").join(sure, "pattern").where(F.col("fits").bitwiseAND(F.expr("shiftleft(1, of)")) > 0)
     best = new.groupBy("key", "start", "end").agg(F.max_by("of", F.struct("p", -F.col("of"))).alias("kind"))
     return best.select("key", "start", "kind", "end")
 
 
-def find(docs: DataFrame, text: str = "text", support: int = 5, trust: float = 0.8, rounds: int = 4) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", support: int = 5, trust: float = 0.8, rounds: int = 3) -> DataFrame:
     """For each row: doc_id, base (spans by start, then kind) and spans (those and the discovered ones)."""
     found = stored(scan(docs, text), "scanned")
     more = discover(docs, found, text, support, trust, rounds)
@@ -241,7 +241,7 @@ def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     redacted alike; a null text stays null.
     """
     found = stored(scan(docs, text), "scanned")
-    more = discover(docs, found, text, options.get("support", 5), options.get("trust", 0.8), options.get("rounds", 4))
+    more = discover(docs, found, text, options.get("support", 5), options.get("trust", 0.8), options.get("rounds", 3))
     more = more.groupBy("key").agg(F.collect_set(F.struct("start", F.col("kind").cast("int").alias("kind"), "end")).alias("pii_more"))
     keep = list(docs.columns)
     place = keep.index(text)
