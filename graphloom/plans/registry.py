@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalars as S
 from graphloom.operators import diagnostics as D
 from graphloom.operators import graphs as G
+from graphloom.operators import kernels as K
 from graphloom.operators import semantic as V
 from graphloom.sources import views
 
@@ -303,6 +304,99 @@ def _(nodes, edges):
     return out.select("a", "b", S.rounded(F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
 
 
+CC = "b AS (SELECT DISTINCT source, target FROM (SELECT source, target FROM edges WHERE source <> target UNION ALL SELECT target, source FROM edges WHERE source <> target) x), r AS (SELECT source AS id, source AS c FROM b UNION SELECT b.target, r.c FROM r JOIN b ON r.id = b.source)"
+
+
+@query("connected_components", "supp", more(CC, "SELECT id, min(c) AS component FROM r GROUP BY id"))
+def _(nodes, edges):
+    return K.connected(edges)
+
+
+@query("betweenness_brandes", "supp", None)
+def _(nodes, edges):
+    return K.betweenness(nodes, edges).select("id", S.rounded(F.col("betweenness"), 8).alias("betweenness"))
+
+
+@query("laplacian_eigh", "supp", None)
+def _(nodes, edges):
+    return K.laplacian_values(edges).select("component", "rank", S.rounded(F.col("value"), 6).alias("value"))
+
+
+@query("win_period_sampling", None, None)
+def _(spark, d):
+    days = views.table(spark, d, "events").select("event_type", F.to_date("ts").alias("day")).distinct()
+    return K.period_sample(days, "event_type", "day", 7)
+
+
+@query("win_nearest_rank_pctl", "supp", more(DEGREES, "SELECT list_sort(list(in_degree))[CAST(least(floor(count(*) * 0.85), count(*) - 1) AS INTEGER) + 1] AS p85 FROM deg"))
+def _(nodes, edges):
+    d = G.degrees(nodes, edges)
+    from pyspark.sql import Window
+
+    # by running counts of distinct values, so that no list of all values is formed
+    c = d.groupBy("in_degree").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("in_degree"))).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
+    return c.where(F.col("upto") > F.least(F.floor(F.col("total") * 0.85), F.col("total") - 1)).agg(F.min("in_degree").alias("p85"))
+
+
+@query("win_edge_count_rank", "supply", more(ASSIGN, f"SELECT source_module, target_module, {rnd('percent_rank() OVER (ORDER BY n)')} AS rank FROM (SELECT a.module AS source_module, b.module AS target_module, count(*) AS n FROM edges JOIN assign a ON source = a.id JOIN assign b ON target = b.id WHERE kind <> 'defines' AND a.module <> b.module GROUP BY ALL) x"))
+def _(nodes, edges):
+    pairs = G.module_dependencies(edges, nations(nodes)).groupBy("source_module", "target_module").agg(F.sum("n").alias("n"))
+    return G.percentile_ranks(pairs, "n").select("source_module", "target_module", S.rounded(F.col("rank")).alias("rank"))
+
+
+@query("agg_max_target_count", "supply", more(f"{ASSIGN}, {WIDTH}", "SELECT source_module, target_module, max_target FROM iw"))
+def _(nodes, edges):
+    return G.interface_width(edges, nations(nodes)).select("source_module", "target_module", "max_target")
+
+
+@query("fn_binomial_cdf", None, f"SELECT k, n, {rnd('p', 5)} AS p FROM (SELECT k, n, CASE WHEN k >= n THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5))) FROM range(0, k + 1) t(i)) END AS p FROM (SELECT DISTINCT CAST(l_quantity AS INTEGER) AS n, CAST(l_linenumber AS INTEGER) AS k FROM lineitem) x) y")
+def _(spark, d):
+    x = views.table(spark, d, "lineitem").select(F.col("l_quantity").cast("int").alias("n"), F.col("l_linenumber").cast("int").alias("k")).distinct()
+    return x.select("k", "n", S.rounded(S.binomial_cdf(F.col("k"), F.col("n")), 5).alias("p"))
+
+
+@query("agg_ari", "supply", more("t AS (SELECT a, b, count(*) AS n FROM (SELECT split_part(id, '.', 1) AS a, length(id) % 3 AS b FROM nodes) x GROUP BY ALL), s AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM t) AS i, (SELECT sum(m * (m - 1) / 2.0) FROM (SELECT sum(n) AS m FROM t GROUP BY a) p) AS x, (SELECT sum(m * (m - 1) / 2.0) FROM (SELECT sum(n) AS m FROM t GROUP BY b) q) AS y, (SELECT sum(n) * (sum(n) - 1) / 2.0 FROM t) AS z)", f"SELECT {rnd('(i - x * y / z) / ((x + y) / 2 - x * y / z)')} AS ari FROM s"))
+def _(nodes, edges):
+    t = G.agreement(nodes.select("id", S.package_of(F.col("id")).alias("label")), nodes.select("id", (F.length("id") % 3).alias("label")))
+    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    i, x, y = (t.agg(pairs("n").alias("i"), F.sum("n").alias("t")), t.groupBy("a").agg(F.sum("n").alias("m")).agg(pairs("m").alias("x")), t.groupBy("b").agg(F.sum("n").alias("m")).agg(pairs("m").alias("y")))
+    z, both = F.col("t") * (F.col("t") - 1) / 2, F.col("x") * F.col("y")
+    return i.join(x).join(y).select(S.rounded((F.col("i") - both / z) / ((F.col("x") + F.col("y")) / 2 - both / z)).alias("ari"))
+
+
+@query("filter_non_test_nodes", "supply", "SELECT id FROM nodes WHERE NOT regexp_matches(lower(id), 'test|spec|mock')")
+def _(nodes, edges):
+    return nodes.where(~F.lower("id").rlike("test|spec|mock")).select("id")
+
+
+@query("set_union_edges", "supp", "SELECT source, target, kind, count(*) AS n FROM (SELECT * FROM edges UNION ALL SELECT target, source, 'imports' FROM edges) x GROUP BY ALL")
+def _(nodes, edges):
+    back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), F.lit("imports").alias("kind"))
+    return edges.unionByName(back).groupBy("source", "target", "kind").agg(F.count("*").alias("n"))
+
+
+@query("edges_between", "supply", "SELECT kind, count(*) AS n FROM edges WHERE kind <> 'defines' AND starts_with(source, 'ASIA.') AND starts_with(target, 'EUROPE.') GROUP BY kind")
+def _(nodes, edges):
+    a = nodes.where("startswith(id, 'ASIA.')").select(F.col("id").alias("source")).distinct()
+    b = nodes.where("startswith(id, 'EUROPE.')").select(F.col("id").alias("target")).distinct()
+    return edges.where("kind <> 'defines'").join(a, "source", "left_semi").join(b, "target", "left_semi").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("local_variation", None, f"WITH {VECTORS}, e AS (SELECT vec_id AS a, (vec_id * 7 + 3) % (SELECT count(*) FROM v) AS b FROM v), s AS (SELECT a, b FROM e WHERE a <> b UNION ALL SELECT b, a FROM e WHERE a <> b) SELECT a AS id, {rnd('sum(1 - list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e)))) / count(*)')} AS variation FROM s JOIN v x ON a = x.vec_id JOIN v y ON b = y.vec_id GROUP BY a")
+def _(spark, d):
+    v = views.table(spark, d, "embeddings").select("vec_id", "embedding")
+    e = v.join(v.agg(F.count("*").alias("n"))).select(F.col("vec_id").alias("a"), ((F.col("vec_id") * 7 + 3) % F.col("n")).alias("b")).where("a <> b")
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    x, y = v.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    return both.join(x, "a").join(y, "b").groupBy(F.col("a").alias("id")).agg(S.rounded(F.sum(1 - S.cosine(F.col("x"), F.col("y"))) / F.count("*")).alias("variation"))
+
+
+@query("cycle_freedom", "events", more(REACH.format(k=6), f", x AS (SELECT DISTINCT source, target FROM r), c AS (SELECT DISTINCT a.source AS id FROM x a JOIN x b ON a.source = b.target AND a.target = b.source) SELECT {rnd('1 - (SELECT count(*) FROM c) / (SELECT count(*) FROM nodes)')} AS cycle_freedom"))
+def _(nodes, edges):
+    caught = D.mutual_reach(G.reach(edges, 6).select("source", "target")).agg(F.count("*").alias("c"))
+    return nodes.agg(F.count("*").alias("n")).join(caught).select(S.rounded(1 - F.col("c") / F.col("n")).alias("cycle_freedom"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
