@@ -74,7 +74,7 @@ class PrefixEncoder:
         key = (left, right)
         if (known := self.fits.get(key)) is not None:
             return known
-        if len(self.fits) > 500_000:
+        if len(self.fits) > 100_000:
             self.fits.clear()
         a, b, bar, fine = left, right, float("inf"), True
         while True:
@@ -128,7 +128,7 @@ class PrefixEncoder:
 class Tokenizer:
     """A tokenizer file of this kind: its normaliser, its split into words, its BPE and its decoding."""
 
-    def __init__(self, config: str, keep: int = 300_000):
+    def __init__(self, config: str, keep: int = 100_000):
         spec = json.loads(config)
         model = spec["model"]
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]

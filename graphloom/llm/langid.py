@@ -115,7 +115,7 @@ class Model:
     """Languages in order, and each one's training words."""
 
     words: dict[str, list[str]]
-    keep: int = 300_000
+    keep: int = 120_000
     tables: list[np.ndarray] | None = None
     index: dict[str, int] = field(default_factory=dict)
     counts: np.ndarray | None = None

@@ -58,7 +58,7 @@ def multipliers(tables: int) -> np.ndarray:
 class Words:
     """A 32-bit code for each word; words repeat, so a worker keeps those it met."""
 
-    def __init__(self, keep: int = 500_000):
+    def __init__(self, keep: int = 120_000):
         self.keep, self.known = keep, {}
 
     def codes(self, text: str | None) -> np.ndarray:
@@ -102,7 +102,7 @@ def sketch(marks: np.ndarray, tables: int = TABLES, take: int = TAKE) -> np.ndar
     """For each table, a hash of its least marks in text order."""
     out = np.empty(tables, np.uint64)
     many = multipliers(tables)
-    group = max(1, min(tables, 2_000_000 // max(1, len(marks))))
+    group = max(1, min(tables, 400_000 // max(1, len(marks))))
     for at in range(0, tables, group):
         own = many[at : at + group]
         ranks = marks[None, :] * own[:, None]
