@@ -222,6 +222,8 @@ def encode_decode(df: DataFrame, config: str, text: str = "text", with_values: b
                     "decoded_sha256": pa.array([hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for _, d in rows], pa.string()),
                 }
                 yield pa.RecordBatch.from_arrays([*part.columns, *(made[f.name] for f in fields)], names=[*keep, *(f.name for f in fields)])
+        tokenizer.known.clear()
+        tokenizer.encoder.fits.clear()
 
     schema = T.StructType([*(df.schema[c] for c in keep), *fields])
     return df.select(*keep).mapInArrow(run, schema)

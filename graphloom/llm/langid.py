@@ -133,6 +133,11 @@ class Model:
             self.bits = np.array([np.log2(2 + sum(map(len, ws))) for ws in marked])
             self._empty()
 
+    def forget(self) -> None:
+        """Give the memory back: a worker keeps what was broadcast to it for longer than a task."""
+        self.tables, self.counts = None, None
+        self.index = {}
+
     def _empty(self) -> None:
         self.index.clear()
         self.counts = np.zeros((0, len(self.langs)), np.int64)
@@ -228,5 +233,6 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 part = b.slice(at, 512)
                 rows = own.predict(part.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.float64())], names=[*keep, *RESULTS.names])
+        own.forget()
 
     return df.select(*keep).mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *RESULTS]))
