@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import clamp, direction_significant, package_of, severity_label
@@ -60,3 +60,40 @@ def mutual_reach(reached: DataFrame) -> DataFrame:
     """Strongly connected nodes by reachability: id and component, its least id. reached: source and target of all paths."""
     back = reached.select(F.col("source").alias("target"), F.col("target").alias("source"))
     return reached.join(back, ["source", "target"]).groupBy(F.col("source").alias("id")).agg(F.least(F.min("target"), F.col("id")).alias("component"))
+
+
+def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
+    """Adds rejected: all ranks up to the greatest k with p_k <= k / m * alpha. Equal values share the greatest rank, so the window runs over distinct values."""
+    counts = df.groupBy(p).agg(F.count("*").alias("times"))
+    ranked = counts.withColumn("k", F.sum("times").over(Window.orderBy(p))).withColumn("m", F.sum("times").over(Window.partitionBy(F.lit(1))))
+    limit = ranked.where(F.col(p) <= F.col("k") / F.col("m") * alpha).agg(F.max(p).alias("limit"))
+    return df.join(limit).withColumn("rejected", F.coalesce(F.col(p) <= F.col("limit"), F.lit(False))).drop("limit")
+
+
+def expected_diversity(edges: DataFrame, assign: DataFrame) -> DataFrame:
+    """For each called node: callers' modules, and how many its in-degree would meet by chance, K - sum (1 - d_m / E)^d."""
+    a = assign.select(F.col("id").alias("source"), "module")
+    calls = edges.where("kind = 'calls'").join(a, "source")
+    modules = calls.groupBy("module").agg(F.count("*").alias("out"))
+    total = modules.agg(F.sum("out").alias("e"), F.count("*").alias("k"))
+    shares = modules.join(total).select("k", (1 - F.col("out") / F.col("e")).alias("miss"))
+    # the chance depends on the in-degree alone: one row for each
+    seen = calls.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("d"), F.count_distinct("module").alias("observed"))
+    chance = seen.select("d").distinct().join(shares).groupBy("d").agg((F.max("k") - F.sum(F.pow("miss", "d"))).alias("expected"))
+    return seen.join(chance, "d").select("id", "observed", "expected")
+
+
+def relationships(edges: DataFrame, assign: DataFrame) -> DataFrame:
+    """Directed module pairs as integration (calls and imports), runtime (calls), structural (imports) or hierarchy."""
+    from graphloom.operators.graphs import module_dependencies
+
+    kinds = module_dependencies(edges, assign).groupBy("source_module", "target_module").agg(F.max((F.col("kind") == "calls").cast("int")).alias("c"), F.max((F.col("kind") == "imports").cast("int")).alias("i"))
+    label = F.when((F.col("c") == 1) & (F.col("i") == 1), "integration").when(F.col("c") == 1, "runtime").when(F.col("i") == 1, "structural").otherwise("hierarchy")
+    return kinds.select("source_module", "target_module", label.alias("relationship"))
+
+
+def suffix_matches(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """name and id: names found as a dotted suffix of one node only. Suffixes are exploded and joined by equality."""
+    parts = F.split("id", r"\.")
+    ends = nodes.select("id").distinct().select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))).alias("name"))
+    return ends.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").join(names, "name").select("name", "id")

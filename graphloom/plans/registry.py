@@ -397,6 +397,62 @@ def _(nodes, edges):
     return nodes.agg(F.count("*").alias("n")).join(caught).select(S.rounded(1 - F.col("c") / F.col("n")).alias("cycle_freedom"))
 
 
+@query("win_bh_fdr", None, "WITH p AS (SELECT s_suppkey, (s_suppkey * 7919 % 1000) / 1000.0 * ((s_suppkey % 10) / 10.0) AS p FROM supplier), r AS (SELECT *, count(*) OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM p) SELECT s_suppkey, coalesce(p <= (SELECT max(p) FROM r WHERE CAST(p AS DOUBLE) <= CAST(k AS DOUBLE) / m * 0.05), false) AS rejected FROM r")
+def _(spark, d):
+    p = views.table(spark, d, "supplier").select("s_suppkey", ((F.col("s_suppkey") * 7919 % 1000) / 1000.0 * ((F.col("s_suppkey") % 10) / 10.0)).alias("p"))
+    return D.benjamini_hochberg(p, "p").select("s_suppkey", "rejected")
+
+
+@query("fn_expected_diversity", "supply", more(ASSIGN + ", c AS (SELECT source, target, module FROM edges JOIN assign ON source = id WHERE kind = 'calls'), m AS (SELECT module, count(*) AS o FROM c GROUP BY module), t AS (SELECT sum(o) AS e, count(*) AS k FROM m), s AS (SELECT target AS id, count(*) AS d, count(DISTINCT module) AS observed FROM c GROUP BY target)", f"SELECT id, observed, {rnd('(SELECT max(k) - sum(power(1 - o / e, s.d)) FROM m, t)')} AS expected FROM s"))
+def _(nodes, edges):
+    return D.expected_diversity(edges, nations(nodes)).select("id", "observed", S.rounded(F.col("expected")).alias("expected"))
+
+
+@query("classify_relationship", "supply", more(ASSIGN, "SELECT a.module AS source_module, b.module AS target_module, CASE WHEN bool_or(kind = 'calls') AND bool_or(kind = 'imports') THEN 'integration' WHEN bool_or(kind = 'calls') THEN 'runtime' WHEN bool_or(kind = 'imports') THEN 'structural' ELSE 'hierarchy' END AS relationship FROM edges JOIN assign a ON source = a.id JOIN assign b ON target = b.id WHERE kind <> 'defines' AND a.module <> b.module GROUP BY ALL"))
+def _(nodes, edges):
+    return D.relationships(edges, nations(nodes))
+
+
+@query("join_suffix_unique", "supply", more("p AS (SELECT DISTINCT id, string_split(id, '.') AS a FROM nodes), e AS (SELECT id, array_to_string(a[k:], '.') AS name FROM p, range(1, 4) t(k) WHERE k <= len(a))", "SELECT name, min(id) AS id FROM e WHERE starts_with(name, 'Supplier_') GROUP BY name HAVING count(*) = 1"))
+def _(nodes, edges):
+    return D.suffix_matches(nodes, nodes.where("kind = 'class'").select(S.leaf_of(F.col("id")).alias("name")).distinct())
+
+
+@query("topk_anomalous_nodes", "supp", more(DEGREES, "SELECT id, in_degree FROM (SELECT *, row_number() OVER (ORDER BY in_degree DESC, id) AS k, count(*) OVER () AS n FROM deg) x WHERE k <= ceil(0.2 * n)"))
+def _(nodes, edges):
+    d = G.degrees(nodes, edges).select("id", "in_degree")
+    top = int(-(-d.count() // 5))
+    return d.orderBy(F.desc("in_degree"), "id").limit(top)
+
+
+@query("filter_issue_severity", "supply", more(f"{ASSIGN}, {WIDTH}, {FENCE}", f"SELECT a.source_module, a.target_module, CASE WHEN {SEV} >= 0.75 THEN 'high' ELSE 'medium' END AS label FROM iw a LEFT JOIN iw b ON a.source_module = b.target_module AND a.target_module = b.source_module, f WHERE n >= 6 AND a.width > fence AND {SEV} >= 0.45"))
+def _(nodes, edges):
+    return D.wide_interfaces(edges, nations(nodes)).where("label IN ('high', 'medium')").select("source_module", "target_module", "label")
+
+
+@query("mutate_overloaded_utility", "supply", more(ASSIGN + ", u AS (SELECT min(id) AS id FROM nodes WHERE kind = 'class'), c AS (SELECT module, min(id) AS id FROM assign GROUP BY module)", "SELECT source, target, kind, count(*) AS n FROM (SELECT source, target, kind FROM edges UNION ALL SELECT c.id, u.id, 'calls' FROM c, u WHERE c.id <> u.id) x GROUP BY ALL"))
+def _(nodes, edges):
+    utility = nodes.where("kind = 'class'").agg(F.min("id").alias("target"))
+    callers = nations(nodes).groupBy("module").agg(F.min("id").alias("source")).join(utility).where("source <> target")
+    return edges.unionByName(callers.select("source", "target", F.lit("calls").alias("kind"))).groupBy("source", "target", "kind").agg(F.count("*").alias("n"))
+
+
+@query("mutate_near_disconnect", "supply", more(ASSIGN, "SELECT kind, count(*) AS n FROM edges LEFT JOIN assign a ON source = a.id LEFT JOIN assign b ON target = b.id WHERE NOT (kind <> 'defines' AND a.module IS NOT DISTINCT FROM b.module AND a.module IS NOT NULL AND (length(source) + length(target)) % 4 > 0) GROUP BY kind"))
+def _(nodes, edges):
+    a, b = (nations(nodes).select(F.col("id").alias(c), F.col("module").alias(m)) for c, m in (("source", "sm"), ("target", "tm")))
+    both = edges.join(a, "source", "left").join(b, "target", "left")
+    gone = (F.col("kind") != "defines") & F.coalesce(F.col("sm") == F.col("tm"), F.lit(False)) & ((F.length("source") + F.length("target")) % 4 > 0)
+    return both.where(~gone).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("sort_components", "supp", more(CC + ", k AS (SELECT id, min(c) AS component FROM r GROUP BY id)", "SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) AS place FROM k GROUP BY component"))
+def _(nodes, edges):
+    from pyspark.sql import Window
+
+    sizes = K.connected(edges).groupBy("component").agg(F.count("*").alias("size"))
+    return sizes.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "component")).cast("long"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
