@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from graphloom.llm.common import give_back
+
 END = "\ue000"
 """Stands for the mark of a word's end, which is no symbol of its own."""
 
@@ -224,6 +226,7 @@ def encode_decode(df: DataFrame, config: str, text: str = "text", with_values: b
                 yield pa.RecordBatch.from_arrays([*part.columns, *(made[f.name] for f in fields)], names=[*keep, *(f.name for f in fields)])
         tokenizer.known.clear()
         tokenizer.encoder.fits.clear()
+        give_back()
 
     schema = T.StructType([*(df.schema[c] for c in keep), *fields])
     return df.select(*keep).mapInArrow(run, schema)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -81,3 +84,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system at a task's end: workers live on, and the next stage's tasks need it beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems than glibc do so themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

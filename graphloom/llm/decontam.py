@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from graphloom.llm.common import give_back
+
 WIDTH = 13
 SEPARATORS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -300,6 +302,7 @@ def _search(docs: DataFrame, shared, text: str, shard_words: int) -> DataFrame:
                     parts, counts, shard, passed = [], [], Shard(block), 0
         if parts:
             yield from results(parts, counts, shard)
+        give_back()
 
     return docs.select(*order).mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *RESULTS]))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import bounded_sample
+from graphloom.llm.common import bounded_sample, give_back
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -234,5 +234,6 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 rows = own.predict(part.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.float64())], names=[*keep, *RESULTS.names])
         own.forget()
+        give_back()
 
     return df.select(*keep).mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *RESULTS]))

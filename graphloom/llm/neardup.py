@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored
+from graphloom.llm.common import give_back, stored
 from graphloom.llm.components import components
 from graphloom.llm.decontam import words as ascii_words
 
@@ -173,6 +173,8 @@ def sketches(docs: DataFrame, text: str, tables: int, take: int) -> DataFrame:
                     codes.append(c.tobytes())
                     buckets.append(sketch(marks, tables, take).view(np.int64) if len(marks) else [])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(codes, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "codes", "buckets"])
+        known.known.clear()
+        give_back()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return keyed.mapInArrow(run, f"doc_id {id_type}, key binary, n long, codes binary, buckets array<long>")
@@ -190,6 +192,7 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 rows = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
                 fine = [similarity(prepared(x), prepared(y), least) >= least for x, y in rows]
                 yield part.select([0, 1]).filter(pa.array(fine, pa.bool_()))
+        give_back()
 
     return pairs.join(b, "b").join(a, "a").select("a", "b", "codes_a", "codes_b").mapInArrow(run, "a binary, b binary")
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import stored
+from graphloom.llm.common import give_back, stored
 
 # The kinds, in the order that breaks ties of place.
 KINDS = ("email", "ip", "card", "phone")
@@ -157,6 +157,7 @@ def scan(docs: DataFrame, text: str) -> DataFrame:
                 others = [occurrences(x, k) if x else [] for x, k in zip(texts, known, strict=True)]
                 rows = [[{"start": s, "kind": k, "end": e} for s, k, e in ks] for ks in known]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, spans), pa.array(others, found_as)], names=["doc_id", "key", "base", "found"])
+        give_back()
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("key", T.StringType()), T.StructField("base", T.ArrayType(SPAN)), T.StructField("found", T.ArrayType(OCCURRENCE))])
     return keyed.mapInArrow(run, schema)
