@@ -2,9 +2,11 @@
 
 A text's k-mers are its runs of five words, each labelled with how many equal ones
 came before it. Each of several tables takes the few k-mers that are least under its
-own hash and keeps them in text order; two texts that share a table's k-mers in order
-are candidates. Sharing several k-mers in order is likely for texts of a small edit
-distance, and unlikely for texts that share a passage or a set of words only.
+own hash; two texts that share a table's k-mers are candidates. Order MinHash would ask
+for the same order too; but moved text is a link, so order is left to the alignment, and
+whatever shares a table's k-mers in order shares them without. Short sets, of which a
+table could miss what differs, meet exactly: by all that is left of them when as many
+k-mers are taken out as may differ.
 
 Candidates are verified by banded alignment: the equal labelled k-mers, off the
 diagonal by no more than the size of the parts that may differ, are chained in the
@@ -28,6 +30,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,8 @@ from graphloom.llm.components import components
 from graphloom.llm.decontam import words as ascii_words
 
 K, TABLES, TAKE, SIMILAR = 5, 32, 5, 0.8
+SHORT = 11
+"""Sets of at most so many k-mers meet each other exactly."""
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,7 +104,7 @@ def labelled(plain: np.ndarray) -> np.ndarray:
 
 
 def sketch(marks: np.ndarray, tables: int = TABLES, take: int = TAKE) -> np.ndarray:
-    """For each table, a hash of its least marks in text order."""
+    """For each table, a hash of its least marks, whatever their order in the text."""
     out = np.empty(tables, np.uint64)
     many = multipliers(tables)
     group = max(1, min(tables, 400_000 // max(1, len(marks))))
@@ -107,16 +112,39 @@ def sketch(marks: np.ndarray, tables: int = TABLES, take: int = TAKE) -> np.ndar
         own = many[at : at + group]
         ranks = marks[None, :] * own[:, None]
         if len(marks) > take:
-            places = np.sort(np.argpartition(ranks, take - 1, axis=1)[:, :take], axis=1)
+            chosen = np.sort(marks[np.argpartition(ranks, take - 1, axis=1)[:, :take]], axis=1)
         else:
-            places = np.broadcast_to(np.arange(len(marks)), (len(own), len(marks)))
+            chosen = np.broadcast_to(np.sort(marks), (len(own), len(marks)))
         key = own.copy()
-        for j in range(places.shape[1]):
-            key = mix(key * ODD + marks[places[:, j]])
+        for j in range(chosen.shape[1]):
+            key = mix(key * ODD + chosen[:, j])
         out[at : at + group] = key
     return out
 
 
+def remainders(marks: np.ndarray, least: float = SIMILAR) -> np.ndarray:
+    """Hashes of all sets that are left of marks without as many as a similar text may lack: the common ones of two similar sets are left of both."""
+    have = np.sort(marks)
+    out = []
+    for gone in range(int((1 - least) * len(have) + 1e-9) + 1):
+        left = np.array(list(combinations(range(len(have)), len(have) - gone)))
+        key = np.full(len(left), ODD)
+        for j in range(left.shape[1]):
+            key = mix(key * ODD + have[left[:, j]])
+        out.append(key)
+    return np.concatenate(out)
+
+
+def buckets_of(marks: np.ndarray, tables: int, take: int, least: float) -> np.ndarray:
+    """A set's keys; a key's place modulo tables is its table. Sets too small to be like one of more than SHORT need no sketch."""
+    if not len(marks):
+        return np.zeros(0, np.int64)
+    parts = [sketch(marks, tables, take)] if len(marks) >= least * (SHORT + 1) else []
+    if len(marks) <= SHORT:
+        parts.append(remainders(marks, least))
+    return np.concatenate(parts).view(np.int64)
+
+
 def longest_chain(b: np.ndarray) -> int:
     """How many of these places can be kept so that they rise."""
     if len(b) < 2 or (b[1:] > b[:-1]).all():
@@ -156,7 +184,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(s, exact)
 
 
-def sketches(docs: DataFrame, text: str, tables: int, take: int) -> DataFrame:
+def sketches(docs: DataFrame, text: str, tables: int, take: int, least: float = SIMILAR) -> DataFrame:
     """For each row: doc_id, key of the exact text, number of k-mers, words' codes, and the tables' buckets (none without a word)."""
     keyed = docs.select("doc_id", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key"), F.col(text).alias("text"))
 
@@ -171,7 +199,7 @@ def sketches(docs: DataFrame, text: str, tables: int, take: int) -> DataFrame:
                     marks = labelled(kmers(c))
                     sizes.append(len(marks))
                     codes.append(c.tobytes())
-                    buckets.append(sketch(marks, tables, take).view(np.int64) if len(marks) else [])
+                    buckets.append(buckets_of(marks, tables, take, least))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(codes, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "codes", "buckets"])
         known.known.clear()
         give_back()
@@ -216,9 +244,9 @@ def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
 def grouped(docs: DataFrame, text: str = "text", least: float = SIMILAR, tables: int = TABLES, take: int = TAKE, rounds: int = 1) -> DataFrame:
     """One row for each row of docs: doc_id, key of the exact text, and root, the least key of its class."""
-    found = stored(sketches(docs, text, tables, take), "sketches")
+    found = stored(sketches(docs, text, tables, take, least), "sketches")
     nodes = found.select("key", "n", "buckets").where("n > 0").dropDuplicates(["key"])
-    members = nodes.select("key", "n", F.posexplode("buckets").alias("table", "bucket"))
+    members = nodes.select("key", "n", F.posexplode("buckets").alias("place", "bucket")).withColumn("table", F.col("place") % tables).drop("place")
     full = members.groupBy("bucket").count().where("count > 1").select("bucket")
     members = stored(members.join(full, "bucket"), "members")
     texts = stored(found.join(members.select("key").distinct(), "key", "left_semi").select("key", "codes", "buckets").dropDuplicates(["key"]), "texts")
