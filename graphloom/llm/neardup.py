@@ -6,7 +6,8 @@ own hash; two texts that share a table's k-mers are candidates. Order MinHash wo
 for the same order too; but moved text is a link, so order is left to the alignment, and
 whatever shares a table's k-mers in order shares them without. Short sets, of which a
 table could miss what differs, meet exactly: by all that is left of them when as many
-k-mers are taken out as may differ.
+k-mers are taken out as may differ. A text with repeats has keys of its plain k-mers
+also, and sizes are near if those of the labelled or of the plain ones are.
 
 Candidates are verified by banded alignment: the equal labelled k-mers, off the
 diagonal by no more than the size of the parts that may differ, are chained in the
@@ -145,6 +146,16 @@ def buckets_of(marks: np.ndarray, tables: int, take: int, least: float) -> np.nd
     return np.concatenate(parts).view(np.int64)
 
 
+def all_buckets(plain: np.ndarray, marks: np.ndarray, tables: int, take: int, least: float) -> tuple[int, list]:
+    """How many different k-mers a text has, and its keys: of the labelled k-mers and, where they differ, of the plain ones. A key it has already is null."""
+    keys, once = buckets_of(marks, tables, take, least), np.unique(plain)
+    if len(once) == len(plain):
+        return len(once), keys
+    have = set(keys.tolist())
+    more = [None if x in have else x for x in buckets_of(once, tables, take, least).tolist()]
+    return len(once), [*keys.tolist(), *[None] * (-len(keys) % tables), *more]
+
+
 def longest_chain(b: np.ndarray) -> int:
     """How many of these places can be kept so that they rise."""
     if len(b) < 2 or (b[1:] > b[:-1]).all():
@@ -185,7 +196,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def sketches(docs: DataFrame, text: str, tables: int, take: int, least: float = SIMILAR) -> DataFrame:
-    """For each row: doc_id, key of the exact text, number of k-mers, words' codes, and the tables' buckets (none without a word)."""
+    """For each row: doc_id, key of the exact text, number of k-mers and of different ones, words' codes, and the tables' buckets (none without a word)."""
     keyed = docs.select("doc_id", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,19 +204,21 @@ def sketches(docs: DataFrame, text: str, tables: int, take: int, least: float =
         for b in batches:
             for start in range(0, b.num_rows, 512):
                 part = b.slice(start, 512)
-                sizes, codes, buckets = [], [], []
+                sizes, once, codes, buckets = [], [], [], []
                 for x in part.column(2).to_pylist():
                     c = known.codes(x)
-                    marks = labelled(kmers(c))
-                    sizes.append(len(marks))
+                    plain = kmers(c)
+                    different, keys = all_buckets(plain, labelled(plain), tables, take, least)
+                    sizes.append(len(plain))
+                    once.append(different)
                     codes.append(c.tobytes())
-                    buckets.append(buckets_of(marks, tables, take, least))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(codes, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "codes", "buckets"])
+                    buckets.append(keys)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(once, pa.int64()), pa.array(codes, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "once", "codes", "buckets"])
         known.known.clear()
         give_back()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"doc_id {id_type}, key binary, n long, codes binary, buckets array<long>")
+    return keyed.mapInArrow(run, f"doc_id {id_type}, key binary, n long, once long, codes binary, buckets array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -245,12 +258,12 @@ def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 def grouped(docs: DataFrame, text: str = "text", least: float = SIMILAR, tables: int = TABLES, take: int = TAKE, rounds: int = 1) -> DataFrame:
     """One row for each row of docs: doc_id, key of the exact text, and root, the least key of its class."""
     found = stored(sketches(docs, text, tables, take, least), "sketches")
-    nodes = found.select("key", "n", "buckets").where("n > 0").dropDuplicates(["key"])
-    members = nodes.select("key", "n", F.posexplode("buckets").alias("place", "bucket")).withColumn("table", F.col("place") % tables).drop("place")
+    nodes = found.select("key", "n", "once", "buckets").where("n > 0").dropDuplicates(["key"])
+    members = nodes.select("key", "n", "once", F.posexplode("buckets").alias("place", "bucket")).where("bucket IS NOT NULL").withColumn("table", F.col("place") % tables).drop("place")
     full = members.groupBy("bucket").count().where("count > 1").select("bucket")
     members = stored(members.join(full, "bucket"), "members")
     texts = stored(found.join(members.select("key").distinct(), "key", "left_semi").select("key", "codes", "buckets").dropDuplicates(["key"]), "texts")
-    near = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1
+    near = (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1) | (F.least("once", "once_k") >= F.lit(least) * F.greatest("once", "once_k") - 1)
 
     roots: DataFrame | None = None
     # first a few tables, so that most of a large class is one class before the others come; then all
@@ -258,18 +271,18 @@ def grouped(docs: DataFrame, text: str = "text", least: float = SIMILAR, tables:
         now = members if upto is None else members.where(F.col("table") < upto)
         if roots is not None:
             labels = roots.select(F.col("node").alias("key"), F.col("root").alias("label"))
-            now = now.join(labels, "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("root"))
+            now = now.join(labels, "key", "left").select("bucket", "key", "n", "once", F.coalesce("label", "key").alias("root"))
             mixed = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
             now = stored(now.join(mixed, "bucket", "left_semi"), "mixed")
         else:
-            now = now.select("bucket", "key", "n", F.col("key").alias("root"))
+            now = now.select("bucket", "key", "n", "once", F.col("key").alias("root"))
         if upto is None:
             # every pair left of different classes: all members outside a bucket's largest class, against the whole bucket
             sizes = now.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-            few = now.join(sizes, "bucket").where("root != main").select("bucket", F.col("key").alias("k"), F.col("n").alias("m"), F.col("root").alias("other"))
+            few = now.join(sizes, "bucket").where("root != main").select("bucket", F.col("key").alias("k"), F.col("n").alias("m"), F.col("once").alias("once_k"), F.col("root").alias("other"))
         else:
             # a member of each bucket, another one each turn, meets all the rest
-            few = now.groupBy("bucket").agg(F.min_by(F.struct("key", "n", "root"), F.xxhash64("key", F.lit(turn))).alias("o")).select("bucket", F.col("o.key").alias("k"), F.col("o.n").alias("m"), F.col("o.root").alias("other"))
+            few = now.groupBy("bucket").agg(F.min_by(F.struct("key", "n", "once", "root"), F.xxhash64("key", F.lit(turn))).alias("o")).select("bucket", F.col("o.key").alias("k"), F.col("o.n").alias("m"), F.col("o.once").alias("once_k"), F.col("o.root").alias("other"))
         pairs = now.join(few, "bucket").where((F.col("root") != F.col("other")) & near).select(F.least("key", "k").alias("a"), F.greatest("key", "k").alias("b")).distinct()
         links = stored(verify(pairs, texts, least), "links")
         if links.isEmpty():

@@ -23,3 +23,16 @@ def test_near_duplicates_of_short_and_of_moved_texts(spark):
         pair(a, a[60:] + a[:60])
     got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[a] == got[b] == a for a, b in partner.items())
+
+
+def test_near_duplicates_of_repeated_lines(spark):
+    line, other = "the same line of some seven words", " ".join(f"t{i}" for i in range(40))
+    more = " ".join(f"v{i}" for i in range(20))
+    rows = [
+        (1, " ".join([line] * 100)), (2, " ".join([line] * 60)),  # the same set of shingles
+        (3, " ".join([line] * 30 + [other])), (4, " ".join([line] + [other])),  # with and without repeats
+        (5, " ".join([more] + [line.replace("same", "own")] * 80)), (6, " ".join([line.replace("same", "own")] * 80)),  # alike only if repeats count
+        (7, "a b c d e a b c d e a b c d e"), (8, "a b c d e a b c d e a b c d e a b c d e a b c d e a b c d e"),  # short sets
+    ]
+    got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7, 8: 7}
