@@ -99,21 +99,29 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, size)
 
 
+def first_of_each(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """order without the places whose id came before."""
+    return order[np.sort(np.unique(ids[order], return_index=True)[1])]
+
+
 def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its best k (with all that tie) among these rows: place of the query, ids and exact scores."""
+    """For each query its best k ids among these rows, each by its best row: place of the query, places of the rows and exact scores."""
+    by_id = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], ids[by_id][1:] != ids[by_id][:-1]])) if len(ids) else np.zeros(0, np.int64)
     for start in range(0, len(queries), 64):
         part = queries[start : start + 64]
         scores = part @ vectors.T
         scores[query_ids[start : start + 64, None] == ids[None, :]] = -np.inf
-        if scores.shape[1] > k:
-            floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        if len(starts) > k:
+            tops = scores if len(starts) == len(ids) else np.maximum.reduceat(scores[:, by_id], starts, axis=1)
+            floor = np.partition(tops, len(starts) - k, axis=1)[:, len(starts) - k]
         else:
             floor = np.full(len(part), -np.inf)
         for j in range(len(part)):
             at = np.flatnonzero((scores[j] >= floor[j] - 1e-9 * (1 + abs(floor[j]))) & (scores[j] > -np.inf)) if np.isfinite(floor[j]) else np.flatnonzero(scores[j] > -np.inf)
             exact = (vectors[at] * part[j]).sum(1)  # summed alike wherever a row stands, so equal vectors tie
-            order = np.lexsort((ids[at], -exact))[:k]
-            yield start + j, ids[at][order], exact[order]
+            order = first_of_each(ids[at], np.lexsort((ids[at], -exact)))[:k]
+            yield start + j, at[order], exact[order]
 
 
 def valid(df: DataFrame, vector: str) -> DataFrame:
@@ -156,18 +164,18 @@ def _measure(rows: DataFrame, model: Curves, probes: np.ndarray, probe_ids: np.n
             vectors = matrix(b.column(1), size)
             there = b.column(0).to_numpy()
             places = own.ranges(vectors)
-            at = {int(i): n for n, i in enumerate(there)}
             for j, found, scores in best(q, ids, vectors, there, k):
                 old = kept[j]
-                i, s = np.concatenate([old[0], found]), np.concatenate([old[1], scores])
-                p = np.concatenate([old[2], places[[at[int(x)] for x in found]]])
-                order = np.lexsort((i, -s))[:k]
+                i, s = np.concatenate([old[0], there[found]]), np.concatenate([old[1], scores])
+                p = np.concatenate([old[2], places[found]])
+                order = first_of_each(i, np.lexsort((i, -s)))[:k]
                 kept[j] = (i[order], s[order], p[order])
         out = [(j, int(i), float(s), p.tolist()) for j, (ids_, ss, ps) in enumerate(kept) for i, s, p in zip(ids_, ss, ps, strict=True)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.int64())), strict=True)], names=["j", "id", "score", "places"])
 
     near = rows.select("id", "v").mapInArrow(run, "j int, id long, score double, places array<long>")
+    near = near.groupBy("j", "id").agg(F.max(F.struct("score", "places")).alias("m")).select("j", "id", "m.score", "m.places")
     top = near.groupBy("j").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "id", "places"))), 1, k).alias("top")).select("j", F.explode("top.places").alias("p")).collect()
     if not top:
         return 1, 0
@@ -213,7 +221,7 @@ def _search(spark, rows: DataFrame, model: Curves, count: int, window: int, size
         out: list[tuple] = []
         if len(ids) and len(asked_ids):
             for j, found, scores in best(queries, asked_ids, vectors, ids, k):
-                out += [(int(asked_ids[j]), int(i), float(s)) for i, s in zip(found, scores, strict=True)]
+                out += [(int(asked_ids[j]), int(i), float(s)) for i, s in zip(ids[found], scores, strict=True)]
         columns = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 

@@ -2,7 +2,7 @@
 
 import random
 
-from graphloom.llm import neardup
+from graphloom.llm import ann, neardup
 
 
 def test_near_duplicates_of_short_and_of_moved_texts(spark):
@@ -36,3 +36,19 @@ def test_near_duplicates_of_repeated_lines(spark):
     ]
     got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7, 8: 7}
+
+
+def test_nearest_neighbours_of_repeated_rows(spark):
+    import numpy as np
+
+    v = np.random.default_rng(3).normal(size=(100, 8)).round(3)
+    # the nearest ids of query 0 have 30 rows each, and id 7 has other, worse rows too
+    s = (v * v[0]).sum(1)
+    many = sorted(range(1, 100), key=lambda i: (-s[i], i))[:3]
+    rows = [(i, v[i].tolist()) for i in range(100) for _ in range(30 if i in many else 2)] + [(7, (-v[0]).tolist())] * 25
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 20 = 0", target=1.0).collect()
+    for q in range(0, 100, 20):
+        of = (v * v[q]).sum(1)
+        of[7] = max(of[7], -(v[0] * v[q]).sum())
+        want = sorted((i for i in range(100) if i != q), key=lambda i: (-of[i], i))[:20]
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
