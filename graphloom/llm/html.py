@@ -32,7 +32,7 @@ INLINE = ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 ASIDE = ("nav", "aside", "footer", "header", "form", "menu", "dialog", "button", "fieldset")
 BODY = ("article", "main")
 EMPTY = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
-RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "select", "object", "canvas", "audio", "video")
+RAW = ("script", "style", "textarea", "title")
 # Words in class, id and role attributes by which sites name what is not the article.
 NAMES = ("ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "contentinfo", "cookie", "cookies", "discussion", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promotion", "related", "replies", "responses", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget")
 
@@ -40,6 +40,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
+UNQUOTED = re.compile(r"=\s*[^\s\"'=]+/\Z")
 
 # A small labelled table: words, link density, words and link density of the block before and after, place (0 none, 1 in an
 # article or main, 2 in what is named or made for something else), heading, and whether it is of the article.
@@ -95,6 +96,42 @@ def trained() -> Tree:
     return Tree(table[:, :FEATURES], table[:, FEATURES].astype(int))
 
 
+def self_closed(attributes: str) -> bool:
+    """Whether a tag ends in a slash that is not of an unquoted value."""
+    return attributes.endswith("/") and not UNQUOTED.search(attributes)
+
+
+def after_raw(page: str, name: str, closed: bool, at: int) -> int:
+    """Where the content of a raw element ends that begins at this place. Without an end tag it is empty, but for scripts and styles, which are no text."""
+    for m in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).finditer(page, at):
+        if m[1]:
+            return m.end()
+        if closed:  # the next one begins first: the end tag is not this one's
+            return at
+    return at if closed or name in ("textarea", "title") else len(page)
+
+
+def after_hidden(page: str) -> dict[int, int]:
+    """For each other hidden element that has an end tag of its own: the place after its start tag, and the one after its end tag."""
+    out: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    at = 0
+    while found := TOKEN.search(page, at):
+        at = found.end()
+        name = (found[2] or "").lower()
+        if name not in HIDDEN_SET:
+            continue
+        if name in RAW_SET:
+            if not found[1]:
+                at = after_raw(page, name, self_closed(found[3]), at)
+        elif found[1]:
+            if open_.get(name):
+                out[open_[name].pop()] = at
+        elif not self_closed(found[3]):
+            open_.setdefault(name, []).append(at)
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """Flat blocks in page order: text, words, words in links, place and whether it is a heading."""
     out: list[tuple[str, int, int, int, int]] = []
@@ -118,6 +155,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 linked.append(piece)
 
     at, size = 0, len(page)
+    ends: dict[int, int] | None = None  # of hidden elements, once there is one
     while at < size:
         found = TOKEN.search(page, at)
         if not found:
@@ -139,12 +177,12 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             continue
         if name in HIDDEN_SET and not closing:
             flush()
-            if name in RAW_SET:  # its content is no markup, or none of it is shown
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
-            elif name == "head":
-                end = HEAD_END.search(page, at)
-                at = end.start() if end else size
+            if name in RAW_SET:  # its content is no markup
+                at = after_raw(page, name, self_closed(found[3]), at)
+            elif name != "head" and not self_closed(found[3]):  # what may stand in a head is hidden or empty by itself
+                if ends is None:
+                    ends = after_hidden(page)
+                at = ends.get(at, at)
             continue
         flush()
         if closing:
@@ -178,7 +216,6 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
 
 
 INLINE_SET, HIDDEN_SET, RAW_SET, EMPTY_SET, ASIDE_SET, NAMES_SET = map(frozenset, (INLINE, HIDDEN, RAW, EMPTY, ASIDE, NAMES))
-HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
 
 
 def extract(page: str | None, tree: Tree | None = None) -> str:

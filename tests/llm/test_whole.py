@@ -2,7 +2,7 @@
 
 import random
 
-from graphloom.llm import ann, neardup
+from graphloom.llm import ann, html, neardup
 
 
 def test_near_duplicates_of_short_and_of_moved_texts(spark):
@@ -52,3 +52,12 @@ def test_nearest_neighbours_of_repeated_rows(spark):
         of[7] = max(of[7], -(v[0] * v[q]).sum())
         want = sorted((i for i in range(100) if i != q), key=lambda i: (-of[i], i))[:20]
         assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
+def test_html_of_unclosed_and_self_closed_elements():
+    for icon in ("<svg viewBox='0 0 1 1'/>", "<svg>", "<math/>", "<object data=x>", "<iframe src=x>", "<video src=/x/>", "<select>", "<canvas>", "<noscript>", "<script src=x /></script>", "<svg><title>i</title></svg>", "<audio/>"):
+        page = f"<body><article><p>One {icon} two</p><p>three</p><svg><text>hidden</text></svg><script>hidden()</script></article>"
+        assert html.extract(page) == "One two three", icon
+    for head in ("<head><title>t</title>", "<head><meta charset=x><style>p{}</style>", "<head>"):
+        assert html.extract(f"<html>{head}<article><p>the text</p></article></html>") == "the text"
+    assert html.extract("<article><p>a</p><script>var x = 1;") == "a"
