@@ -18,6 +18,7 @@ pass through, but those named like results are replaced.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -87,8 +88,17 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights, self.features(text)), -35, 35))))
 
 
-def choose_marks(toxic: list[str], ordinary: list[str], least: float = 0.02, lift: float = 8.0) -> list[str]:
-    """What the toxic dictionary is trained to hold: strings in at least this share of toxic texts beyond 200, in eight at least unless there are few, and so many times rarer in ordinary ones."""
+def chance(n: int, of: int, share: float) -> float:
+    """How likely at least n of so many texts that have a string are toxic, if it is as frequent in both kinds."""
+    return sum(math.exp(math.lgamma(of + 1) - math.lgamma(k + 1) - math.lgamma(of - k + 1) + k * math.log(share) + (of - k) * math.log1p(-share)) for k in range(n, of + 1))
+
+
+def choose_marks(toxic: list[str], ordinary: list[str], least: float = 0.02, lift: float = 8.0, wrong: float = 0.05) -> list[str]:
+    """What the toxic dictionary is trained to hold: strings so many times rarer in ordinary texts than in toxic ones, if that is not by chance.
+
+    Chance is ruled out for strings in at least the share least of toxic texts beyond 200, in eight at least unless there are few;
+    rarer ones have to pass a test whose expected share of wrong choices is bounded (Benjamini and Hochberg).
+    """
     counts = Counter()
     met: set[int] = set()
     for x in toxic:
@@ -96,11 +106,16 @@ def choose_marks(toxic: list[str], ordinary: list[str], least: float = 0.02, lif
         # a copy of a text brings no new neighbours, and so counts for nothing
         fresh = {w for p, w, n in zip(["", *ws], ws, [*ws[1:], ""], strict=False) if (h := hash((p, w, n))) not in met and (met.add(h) or True)}
         counts.update({g for w in fresh for g in grams(w)})
-    often = {g: n for g, n in counts.items() if n >= max(2, min(8, 0.05 * len(toxic)), least * (len(toxic) - 200))}
+    often = {g: n for g, n in counts.items() if n > 1}
     usual = Counter()
     for x in ordinary:
         usual.update({g for w in set(WORD.findall(x.lower())) for g in grams(w) if g in often})
-    marks = {g: n for g, n in often.items() if n * (len(ordinary) + 1) >= lift * (usual[g] + 0.5) * len(toxic)}
+    lifted = {g: n for g, n in often.items() if n * (len(ordinary) + 1) >= lift * (usual[g] + 0.5) * len(toxic)}
+    share = len(toxic) / (len(toxic) + len(ordinary))
+    odds = {g: chance(n, n + usual[g], share) for g, n in lifted.items()}
+    bound = max((p for k, p in enumerate(sorted(odds.values()), 1) if p <= wrong * k / len(counts)), default=-1.0)
+    bar = max(2, min(8, 0.05 * len(toxic)), least * (len(toxic) - 200))
+    marks = {g: n for g, n in lifted.items() if n >= bar or odds[g] <= bound}
     # a string whose longer form is about as frequent gives way to that form, and what begins with a mark adds nothing to it
     longer: dict[str, int] = {}
     for g, n in marks.items():

@@ -2,7 +2,7 @@
 
 import random
 
-from graphloom.llm import ann, html, neardup
+from graphloom.llm import ann, html, neardup, toxicity
 
 
 def test_near_duplicates_of_short_and_of_moved_texts(spark):
@@ -61,3 +61,15 @@ def test_html_of_unclosed_and_self_closed_elements():
     for head in ("<head><title>t</title>", "<head><meta charset=x><style>p{}</style>", "<head>"):
         assert html.extract(f"<html>{head}<article><p>the text</p></article></html>") == "the text"
     assert html.extract("<article><p>a</p><script>var x = 1;") == "a"
+
+
+def test_toxic_words_of_few_texts_are_learnt():
+    r = random.Random(5)
+    usual = ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(3000)]
+    rare = [f"{a}{b}rglvex" for a in "qwzxy" for b in "uvwxyz"]
+    text = lambda more="": " ".join(r.choice(usual) for _ in range(30)) + more
+    # each of 30 words in 1.5 % of 2,000 toxic texts, and about half of them have none
+    toxic = [text(f" {rare[i % 30]}" if i < 900 else "") for i in range(2000)]
+    marks = toxicity.choose_marks(toxic, [text() for _ in range(2000)])
+    assert all(any(f" {w} ".startswith(m) for m in marks) for w in rare)
+    assert sum(not any(f" {w} ".startswith(m) for w in rare) for m in marks) <= 5
