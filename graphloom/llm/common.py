@@ -78,14 +78,42 @@ def bounded_sample(docs: DataFrame, key: str, text: str, n: int, chars: int) ->
     return out
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write to the shared folder as Parquet and read again: lineage ends there, and later reads take only the columns they need."""
+def stored(df: DataFrame, what: str, lasting: bool = False) -> DataFrame:
+    """Write to the shared folder as Parquet and read again: lineage ends there, and later reads take only the columns they need. A lasting table outlives scratch."""
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _shelves and not lasting:
+        _shelves[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shelves: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within are deleted at its end, but for lasting ones."""
+    paths: list[str] = []
+    _shelves.append(paths)
+    try:
+        yield
+    finally:
+        _shelves.remove(paths)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            at = jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def spare(taken: list[str], name: str) -> str:
+    """A column name that none of those taken is, whatever its case."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def give_back() -> None:
     """Return a worker's free memory to the system at a task's end: workers live on, and the next stage's tasks need it beside the JVM."""
     gc.collect()

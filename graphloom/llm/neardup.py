@@ -15,11 +15,15 @@ order of both texts; the longest chain against all k-mers is the similarity. Whe
 the chain falls short, the exact Jaccard similarity of the k-mers, labelled or plain,
 decides. Links join texts into classes.
 
-Exact copies are one node from the start. Nothing is dropped from a crowded bucket:
-for some rounds one member, another each time, meets all others, and links are
-contracted to classes; buckets that are one class are done. In those that are left,
-every pair of different classes and near sizes is then verified. Pairs inside a class
-are never formed, so a large group of copies costs its length.
+Exact copies are one node from the start. In each bucket one member meets all others,
+first in a few tables, then in all, and links are contracted to classes; buckets that are
+one class are done. In those that are left every pair could be similar, so they are refined
+without loss: two sets can only be as similar as asked if they share one of their rarest
+k-mers, in a beginning whose length follows from the sizes of both. Texts that meet because
+they share a frequent passage, or that are each some way off the middle of a large group,
+share none. One member of each refined bucket meets the others once more, and at last
+every pair of different classes in one is verified. Pairs inside a class are never formed,
+so a large group of copies costs its length. No bucket is capped.
 
 Defined results: a text of fewer than five words has one k-mer, all its words; texts
 without a word, null among them, are alike only if equal, null and empty being equal;
@@ -28,6 +32,7 @@ repeated rows and ids are members like others; a class's id is its least doc_id.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,10 +41,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import give_back, stored
+from graphloom.llm.common import give_back, scratch, spare, stored
 from graphloom.llm.components import components
 from graphloom.llm.decontam import words as ascii_words
 
@@ -247,56 +252,133 @@ def classes(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 def keep_one(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs with one row of each class: the one of the least doc_id (a null id only if there is no other), of repeated rows one."""
     ids = grouped(docs, text, **options)
+    key, own_id, nth = (spare(docs.columns, c) for c in ("nd_key", "nd_id", "nd_nth"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    kept = ids.groupBy("root").agg(first.alias("f")).select(F.col("f.key").alias("nd_key"), F.coalesce(F.col("f.doc_id").cast("string"), F.lit("null")).alias("nd_id"))
-    own = docs.withColumn("nd_key", F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))).withColumn("nd_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    left = own.join(kept, ["nd_key", "nd_id"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("nd_key", "nd_id").orderBy("nd_key"))
-    return left.withColumn("nd_nth", nth).where("nd_nth = 1").select(*docs.columns)
+    kept = ids.groupBy("root").agg(first.alias("f")).select(F.col("f.key").alias(key), F.coalesce(F.col("f.doc_id").cast("string"), F.lit("null")).alias(own_id))
+    own = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))).withColumn(own_id, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    left = own.join(kept, [key, own_id], "left_semi")
+    return left.withColumn(nth, F.row_number().over(Window.partitionBy(key, own_id).orderBy(key))).where(F.col(nth) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def grouped(docs: DataFrame, text: str = "text", least: float = SIMILAR, tables: int = TABLES, take: int = TAKE, rounds: int = 1) -> DataFrame:
+def grouped(docs: DataFrame, text: str = "text", least: float = SIMILAR, tables: int = TABLES, take: int = TAKE) -> DataFrame:
     """One row for each row of docs: doc_id, key of the exact text, and root, the least key of its class."""
-    found = stored(sketches(docs, text, tables, take, least), "sketches")
-    nodes = found.select("key", "n", "once", "buckets").where("n > 0").dropDuplicates(["key"])
-    members = nodes.select("key", "n", "once", F.posexplode("buckets").alias("place", "bucket")).where("bucket IS NOT NULL").withColumn("table", F.col("place") % tables).drop("place")
-    full = members.groupBy("bucket").count().where("count > 1").select("bucket")
-    members = stored(members.join(full, "bucket"), "members")
-    texts = stored(found.join(members.select("key").distinct(), "key", "left_semi").select("key", "codes", "buckets").dropDuplicates(["key"]), "texts")
-    near = (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1) | (F.least("once", "once_k") >= F.lit(least) * F.greatest("once", "once_k") - 1)
+    with scratch(docs.sparkSession):
+        return stored(_grouped(docs, text, least, tables, take), "ids", lasting=True)
 
-    roots: DataFrame | None = None
-    # first a few tables, so that most of a large class is one class before the others come; then all
-    for turn, upto in enumerate([3, *[tables] * rounds, None]):
-        now = members if upto is None else members.where(F.col("table") < upto)
-        if roots is not None:
-            labels = roots.select(F.col("node").alias("key"), F.col("root").alias("label"))
-            now = now.join(labels, "key", "left").select("bucket", "key", "n", "once", F.coalesce("label", "key").alias("root"))
-            mixed = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-            now = stored(now.join(mixed, "bucket", "left_semi"), "mixed")
-        else:
-            now = now.select("bucket", "key", "n", "once", F.col("key").alias("root"))
-        if upto is None:
-            # every pair left of different classes: all members outside a bucket's largest class, against the whole bucket
-            sizes = now.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-            few = now.join(sizes, "bucket").where("root != main").select("bucket", F.col("key").alias("k"), F.col("n").alias("m"), F.col("once").alias("once_k"), F.col("root").alias("other"))
-        else:
-            # a member of each bucket, another one each turn, meets all the rest
-            few = now.groupBy("bucket").agg(F.min_by(F.struct("key", "n", "once", "root"), F.xxhash64("key", F.lit(turn))).alias("o")).select("bucket", F.col("o.key").alias("k"), F.col("o.n").alias("m"), F.col("o.once").alias("once_k"), F.col("o.root").alias("other"))
-        pairs = now.join(few, "bucket").where((F.col("root") != F.col("other")) & near).select(F.least("key", "k").alias("a"), F.greatest("key", "k").alias("b")).distinct()
-        links = stored(verify(pairs, texts, least), "links")
+
+class Classes:
+    """The classes so far: of each linked text its root."""
+
+    def __init__(self, texts: DataFrame, least: float):
+        self.texts, self.least = texts, least
+        self.roots: DataFrame | None = None
+
+    def mixed(self, members: DataFrame) -> DataFrame:
+        """members (bucket, key and more) with their roots, of buckets that are not one class yet."""
+        if self.roots is None:
+            return members.withColumn("root", F.col("key"))
+        labels = self.roots.select(F.col("node").alias("key"), F.col("root").alias("label"))
+        now = members.join(labels, "key", "left").withColumn("root", F.coalesce("label", "key")).drop("label")
+        left = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+        return stored(now.join(left, "bucket", "left_semi"), "mixed")
+
+    def link(self, pairs: DataFrame) -> None:
+        """Verify the pairs a and b, and join the classes of those that are similar."""
+        links = stored(verify(pairs.distinct(), self.texts, self.least), "links")
         if links.isEmpty():
-            continue
-        if roots is None:
-            roots = components(links)
-            continue
+            return
+        if self.roots is None:
+            self.roots = components(links)
+            return
         # links of earlier turns are in the classes; only classes are linked further
+        roots = self.roots
         a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         over = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()
         then = components(over)
         moved = roots.join(then.select(F.col("node").alias("root"), F.col("root").alias("then")), "root", "left").select("node", F.coalesce("then", "root").alias("root"))
-        roots = stored(moved.unionByName(then.join(roots.select("node"), "node", "left_anti")), "roots")
+        self.roots = stored(moved.unionByName(then.join(roots.select("node"), "node", "left_anti")), "roots")
+
+
+def met(now: DataFrame, fits: Column, few: DataFrame | None = None, turn: int = 0) -> DataFrame:
+    """Pairs of members of one bucket and different roots: of all with few, by default one member of each bucket, another one each turn."""
+    own = ["key", "root", *(c for c in now.columns if c not in ("bucket", "key", "root", "table"))]
+    if few is None:
+        few = now.groupBy("bucket").agg(F.min_by(F.struct(*own), F.xxhash64("key", F.lit(turn))).alias("o")).select("bucket", *(F.col(f"o.{c}").alias(f"{c}_2") for c in own))
+    else:
+        few = few.select("bucket", *(F.col(c).alias(f"{c}_2") for c in own))
+    both = now.join(few, "bucket").where((F.col("root") != F.col("root_2")) & fits)
+    return both.select(F.least("key", "key_2").alias("a"), F.greatest("key", "key_2").alias("b"))
+
+
+def postings(texts: DataFrame, least: float) -> DataFrame:
+    """texts: key and codes. bucket, key, n and at, for each place of a text's rare k-mers: two texts can only be similar if they share a bucket.
+
+    K-mers are ordered by how many of these texts have them, the rarest first. Of two similar
+    sets the first common one stands, in both, before so many are left as must be common; so it
+    is enough to look at the beginnings. How long they are depends on both sizes, which are dealt
+    by bands. A k-mer of one text alone meets nothing and is only counted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                keys, sets = [], []
+                for key, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    plain, marks = prepared(x)
+                    keys.append(key)
+                    sets.append(marks.view(np.int64))
+                    if len(once := np.unique(plain)) < len(plain):
+                        keys.append(key)
+                        sets.append(once.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(list(map(len, sets)), pa.int64())], names=["key", "marks", "n"])
+
+    sets = stored(texts.select("key", "codes").mapInArrow(run, "key binary, marks array<long>, n long"), "sets")
+    marks = sets.select("key", "n", F.explode("marks").alias("mark"))
+    often = marks.groupBy("mark").agg(F.count("*").alias("times")).where("times > 1")
+    rare_first = marks.join(often, "mark").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("times", "mark"))).alias("shared"))
+    step, size, share = math.log(1.05), F.col("n").cast("double"), least / (1 + least)
+    band = lambda x: F.floor(F.log(x) / step + 1e-9)
+    small = F.greatest(F.lit(1.0), F.ceil(size * least - 1e-9))
+    bands = rare_first.withColumn("band", band(size)).withColumn("other", F.explode(F.sequence(band(small), band(F.floor(size / least + 1e-9)))))
+    # of the sizes of the other band, the least that can be similar asks for the fewest common k-mers
+    fewest = F.greatest(F.ceil(F.pow(F.lit(1.05), F.col("other")) * (1 - 1e-9) - 1e-6), small)
+    first = F.col("n") - F.ceil(share * (size + fewest) - 1e-9).cast("long") + 1  # how many places count
+    alone = F.col("n") - F.size("shared")
+    begun = bands.withColumn("head", F.slice("shared", F.lit(1), F.greatest(F.lit(0), first - alone).cast("int"))).withColumn("alone", alone)
+    each = begun.select("key", "n", "alone", "band", "other", F.posexplode("head").alias("k", "m"))
+    bucket = F.xxhash64("m.mark", F.least("band", "other"), F.greatest("band", "other"))
+    return each.select(bucket.alias("bucket"), "key", "n", (F.col("alone") + F.col("k")).alias("at"))
+
+
+def _grouped(docs: DataFrame, text: str, least: float, tables: int, take: int) -> DataFrame:
+    found = stored(sketches(docs, text, tables, take, least), "sketches")
+    nodes = found.select("key", "n", "once", "buckets").where("n > 0").dropDuplicates(["key"])
+    members = nodes.select("key", "n", "once", F.posexplode("buckets").alias("place", "bucket")).where("bucket IS NOT NULL").withColumn("table", F.col("place") % tables).drop("place")
+    full = members.groupBy("bucket").count().where("count > 1").select("bucket")
+    members = stored(members.join(full, "bucket"), "members")
+    texts = stored(found.join(members.select("key").distinct(), "key", "left_semi").select("key", "codes").dropDuplicates(["key"]), "texts")
+    classes = Classes(texts, least)
+    sizes = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1
+    near = sizes("n", "n_2") | sizes("once", "once_2")
+    # first a few tables, so that most of a large class is one class before the others come; then all
+    classes.link(met(classes.mixed(members.where("table < 3")), near))
+    left = classes.mixed(members)
+    classes.link(met(left, near, turn=1))
+    left = classes.mixed(left.drop("root"))
+    if not left.isEmpty():
+        # what is left can be similar only where rare k-mers are shared too
+        rare = postings(texts.join(left.select("key").distinct(), "key", "left_semi"), least)
+        shared = rare.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high").select("bucket")
+        rare = stored(rare.join(shared, "bucket", "left_semi"), "postings")
+        enough = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) >= F.lit(least / (1 + least)) * (F.col("n") + F.col("n_2")) - 1e-6
+        now = classes.mixed(rare)
+        classes.link(met(now, enough, turn=2))
+        now = classes.mixed(now.drop("root"))
+        # every pair left: all members outside a bucket's largest class, against the whole bucket
+        main = now.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+        classes.link(met(now, enough, now.join(main, "bucket").where("root != main").drop("main")))
+    roots = classes.roots
     if roots is None:
         roots = nodes.select(F.col("key").alias("node"), F.col("key").alias("root")).where("false")
-    ids = found.select("doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
-    return stored(ids, "ids")
+    return found.select("doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
