@@ -2,18 +2,21 @@
 
 A word's unique encoding ends, at every prefix, in one token: of all tokens that
 are suffixes of the prefix, the one that merging would never pull apart from the
-last token of what lies before it. An automaton with suffix links over the
-reversed-free vocabulary gives the tokens that end at each position, a test of
+last token of what lies before it. The tokens that end at each position come from
+an Aho-Corasick automaton of the vocabulary, in place of a suffix automaton's matches: what is
+looked for is a fixed set of strings, and its suffix links give the same tokens. A test of
 the two tokens' merge histories gives compatibility, and the back-pointers give
 the ids. No merge loop runs, so a long word costs time in proportion to its
 length times the tokens that end at a position.
 
-Words repeat, so each worker keeps the ids of words it has met; the memory is
-emptied when it is full, which changes no result.
+Words repeat, so each worker keeps the ids of short words it has met, of a bounded
+number: those met since the memory was last full, and those met before it.
+That changes no result.
 
 Defined results: a null or empty text has no ids and decodes to the empty text;
 strings of the vocabulary's added tokens become their ids, as the tokenizers
-library does; extra columns pass through untouched unless they have the names of
+library does; symbols that the vocabulary lacks have no ids, as in the library without
+an unknown token; extra columns pass through untouched unless they have the names of
 results, which replace them.
 """
 
@@ -21,6 +24,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,83 +52,86 @@ def byte_symbols() -> list[str]:
 
 
 class PrefixEncoder:
-    """Encodes one word, with its last symbol bearing the end mark."""
+    """Encodes one word, with its last symbol bearing the end mark. A token is known here by its id."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end_mark: str):
         self.end_mark = end_mark
         glue = (lambda s: s.removesuffix(end_mark) + END if end_mark and s.endswith(end_mark) else s)
-        self.names = {i: s for s, i in vocab.items()}
-        made = [(glue(a), glue(b)) for a, b in merges]
-        self.ids = {glue(s): i for s, i in vocab.items()}
-        # A token is known here by its place: symbols first, then results of merges by rank.
-        self.rank = {a + b: r for r, (a, b) in reversed(list(enumerate(made)))}
-        self.parts = {a + b: (a, b) for a, b in reversed(made)}
-        self.joined = {pair: self.rank[pair[0] + pair[1]] for pair in made}
-        # A symbol of the vocabulary is matched as one character, or one with the end mark.
+        ids = {glue(s): i for s, i in vocab.items()}
+        self.size = max(ids.values(), default=0) + 1
+        self.rank, self.parts, self.joined = [-1] * self.size, {}, {}
+        for r, (left, right) in reversed(list(enumerate(merges))):
+            a, b = ids[glue(left)], ids[glue(right)]
+            made = ids[glue(left) + glue(right)] if not glue(left).endswith(END) else None
+            if made is not None:
+                self.rank[made], self.parts[made] = r, (a, b)
+                self.joined[a * self.size + b] = r
+        # a symbol is one character, or one with the end mark; other tokens that no merge makes never come
+        symbols = {s for s in ids if len(s.rstrip(END)) == 1}
+        self.known = frozenset(s.rstrip(END) for s in symbols)
         self.matches = ahocorasick.Automaton()
-        for s in self.ids:
-            if s in self.parts or len(s.rstrip(END)) == 1:
-                self.matches.add_word(s, s)
+        for s, i in ids.items():
+            if i in self.parts or s in symbols:
+                self.matches.add_word(s, (i, len(s)))
         self.matches.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[int, bool] = {}
 
-    def compatible(self, left: str, right: str) -> bool:
+    def compatible(self, left: int, right: int) -> bool:
         """Whether merging, of the two tokens side by side, leaves the border between them alone.
 
         The tokens' last merges are undone from the youngest; whenever the two pieces
         at the border could themselves merge, that merge must come no earlier than
         what was undone on its side, else it would have gone first.
         """
-        key = (left, right)
-        if (known := self.fits.get(key)) is not None:
-            return known
         if len(self.fits) > 100_000:
             self.fits.clear()
         a, b, bar, fine = left, right, float("inf"), True
+        rank, parts, joined, size = self.rank, self.parts, self.joined, self.size
         while True:
-            at = self.joined.get((a, b))
+            at = joined.get(a * size + b)
             if at is not None and at < bar:
                 fine = False
                 break
-            ra, rb = self.rank.get(a, -1), self.rank.get(b, -1)
+            ra, rb = rank[a], rank[b]
             if ra < 0 and rb < 0:
                 break
             if ra > rb:  # the left one's merge is younger; a tie of place goes to the left
-                bar, a = ra, self.parts[a][1]
+                bar, a = ra, parts[a][1]
             else:  # the same rank merges from left to right, so the left border goes first
-                bar, b = rb + 0.5, self.parts[b][0]
-        self.fits[key] = fine
+                bar, b = rb + 0.5, parts[b][0]
+        self.fits[left * size + right] = fine
         return fine
 
     def encode(self, word: str) -> list[int]:
-        """The ids of a non-empty word of byte symbols. Symbols that the vocabulary lacks have none."""
+        """The ids of a word of byte symbols."""
         text = word + END if self.end_mark else word
         size = len(text)
-        last: list[str | None] = [None] * (size + 1)
-        good = [False] * (size + 1)
-        good[0] = True
-        ending: list[list[str]] = [[] for _ in range(size + 1)]
-        for at, token in self.matches.iter(text):
-            ending[at + 1].append(token)
+        last, start = [-1] * (size + 1), [0] * (size + 1)
         border = size - 1 if self.end_mark else size + 1  # the last symbol and its mark are one
-        for i in range(1, size + 1):
-            if i == border:
+        fits, many = self.fits, self.size
+        end = 0
+        for at, (token, length) in self.matches.iter(text):  # at each place the longest first
+            end = at + 1
+            if last[end] >= 0 or end == border:
                 continue
-            for token in sorted(ending[i], key=len, reverse=True):
-                start = i - len(token)
-                if start == border or not good[start]:
+            begin = end - length
+            if begin:
+                before = last[begin]
+                if before < 0:
                     continue
-                before = last[start]
-                if before is None or self.compatible(before, token):
-                    last[i], good[i] = token, True
-                    break
-        if not good[size]:
-            raise ValueError("a symbol of the text is not in the vocabulary")
+                fine = fits.get(before * many + token)
+                if not (self.compatible(before, token) if fine is None else fine):
+                    continue
+            last[end], start[end] = token, begin
+        if last[size] < 0:
+            known = "".join(c for c in word if c in self.known)
+            if known == word:
+                raise ValueError("a vocabulary without the symbols that its merges need")
+            return self.encode(known) if known else []
         out, i = [], size
         while i:
-            token = last[i]
-            out.append(self.ids[token])
-            i -= len(token)
+            out.append(last[i])
+            i = start[i]
         out.reverse()
         return out
 
@@ -130,7 +139,7 @@ class PrefixEncoder:
 class Tokenizer:
     """A tokenizer file of this kind: its normaliser, its split into words, its BPE and its decoding."""
 
-    def __init__(self, config: str, keep: int = 100_000):
+    def __init__(self, config: str, keep: int = 90_000, longest: int = 48):
         spec = json.loads(config)
         model = spec["model"]
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
@@ -143,8 +152,9 @@ class Tokenizer:
         self.cutter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.symbols = byte_symbols()
-        self.keep = keep
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.keep, self.longest = keep, longest
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def normal(text: str) -> str:
@@ -157,13 +167,16 @@ class Tokenizer:
                 text = text.replace("Σ", "σ")
         return text.lower()  # white space only parts words, so its kind does not matter after this
 
-    def word(self, word: str) -> tuple[bytes, str]:
-        """A word's ids as little-endian 32-bit integers, and its tokens joined by spaces."""
-        if len(self.known) >= self.keep:
-            self.known.clear()
-        ids = self.encoder.encode("".join(map(self.symbols.__getitem__, word.encode())))
-        got = (b"".join(i.to_bytes(4, "little") for i in ids), " ".join(map(self.names.__getitem__, ids)))
-        self.known[word] = got
+    def word(self, word: str) -> bytes:
+        """A word's ids as little-endian 32-bit integers."""
+        got = self.known.get(word) or self.older.get(word)
+        if got is None:
+            ids = self.encoder.encode("".join(map(self.symbols.__getitem__, word.encode("utf-8", "replace"))))
+            got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= self.longest:
+            if len(self.known) >= self.keep:
+                self.older, self.known = self.known, {}
+            self.known[word] = got
         return got
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
@@ -172,21 +185,19 @@ class Tokenizer:
             return b"", ""
         pieces = self.cutter.split(text) if self.cutter and any(a in text for a in self.added) else [text]
         packed: list[bytes] = []
-        decoded: list[str] = []
         for k, piece in enumerate(pieces):
             if k % 2:
                 packed.append(self.added[piece].to_bytes(4, "little"))
-                decoded.append(piece)
                 continue
-            get = self.known.get
-            for w in self.words.findall(self.normal(piece)):
-                ids, names = get(w) or self.word(w)
-                packed.append(ids)
-                decoded.append(names)
-        return b"".join(packed), " ".join(decoded)
+            words = self.words.findall(self.normal(piece))
+            for at in range(0, len(words), 200_000):
+                get, word = self.known.get, self.word
+                packed += [get(w) or word(w) for w in words[at : at + 200_000]]
+        ids = b"".join(packed)
+        return ids, self.decode(ids)
 
     def decode(self, ids: bytes) -> str:
-        return " ".join(self.names[int.from_bytes(ids[i : i + 4], "little")] for i in range(0, len(ids), 4))
+        return " ".join(map(self.names.__getitem__, array("I", ids) if sys.byteorder == "little" else struct.unpack(f"<{len(ids) // 4}I", ids)))
 
 
 @lru_cache(maxsize=2)
@@ -224,8 +235,6 @@ def encode_decode(df: DataFrame, config: str, text: str = "text", with_values: b
                     "decoded_sha256": pa.array([hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for _, d in rows], pa.string()),
                 }
                 yield pa.RecordBatch.from_arrays([*part.columns, *(made[f.name] for f in fields)], names=[*keep, *(f.name for f in fields)])
-        tokenizer.known.clear()
-        tokenizer.encoder.fits.clear()
         give_back()
 
     schema = T.StructType([*(df.schema[c] for c in keep), *fields])
