@@ -16,12 +16,12 @@ the chain falls short, the exact Jaccard similarity of the k-mers, labelled or p
 decides. Links join texts into classes.
 
 Exact copies are one node from the start. In each bucket one member meets all others,
-first in a few tables, then in all, and links are contracted to classes; buckets that are
+then another one, and links are contracted to classes; buckets that are
 one class are done. In those that are left every pair could be similar, so they are refined
 without loss: two sets can only be as similar as asked if they share one of their rarest
 k-mers, in a beginning whose length follows from the sizes of both. Texts that meet because
 they share a frequent passage, or that are each some way off the middle of a large group,
-share none. One member of each refined bucket meets the others once more, and at last
+share none. In refined buckets single members meet the others twice more, and at last
 every pair of different classes in one is verified. Pairs inside a class are never formed,
 so a large group of copies costs its length. No bucket is capped.
 
@@ -354,18 +354,17 @@ def postings(texts: DataFrame, least: float) -> DataFrame:
 def _grouped(docs: DataFrame, text: str, least: float, tables: int, take: int) -> DataFrame:
     found = stored(sketches(docs, text, tables, take, least), "sketches")
     nodes = found.select("key", "n", "once", "buckets").where("n > 0").dropDuplicates(["key"])
-    members = nodes.select("key", "n", "once", F.posexplode("buckets").alias("place", "bucket")).where("bucket IS NOT NULL").withColumn("table", F.col("place") % tables).drop("place")
+    members = nodes.select("key", "n", "once", F.explode("buckets").alias("bucket")).where("bucket IS NOT NULL")
     full = members.groupBy("bucket").count().where("count > 1").select("bucket")
     members = stored(members.join(full, "bucket"), "members")
     texts = stored(found.join(members.select("key").distinct(), "key", "left_semi").select("key", "codes").dropDuplicates(["key"]), "texts")
     classes = Classes(texts, least)
     sizes = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1
     near = sizes("n", "n_2") | sizes("once", "once_2")
-    # first a few tables, so that most of a large class is one class before the others come; then all
-    classes.link(met(classes.mixed(members.where("table < 3")), near))
     left = classes.mixed(members)
-    classes.link(met(left, near, turn=1))
-    left = classes.mixed(left.drop("root"))
+    for turn in range(2):
+        classes.link(met(left, near, turn=turn))
+        left = classes.mixed(left.drop("root"))
     if not left.isEmpty():
         # what is left can be similar only where rare k-mers are shared too
         rare = postings(texts.join(left.select("key").distinct(), "key", "left_semi"), least)
@@ -373,8 +372,9 @@ def _grouped(docs: DataFrame, text: str, least: float, tables: int, take: int) -
         rare = stored(rare.join(shared, "bucket", "left_semi"), "postings")
         enough = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) >= F.lit(least / (1 + least)) * (F.col("n") + F.col("n_2")) - 1e-6
         now = classes.mixed(rare)
-        classes.link(met(now, enough, turn=2))
-        now = classes.mixed(now.drop("root"))
+        for turn in range(2, 4):
+            classes.link(met(now, enough, turn=turn))
+            now = classes.mixed(now.drop("root"))
         # every pair left: all members outside a bucket's largest class, against the whole bucket
         main = now.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
         classes.link(met(now, enough, now.join(main, "bucket").where("root != main").drop("main")))
