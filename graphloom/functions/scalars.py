@@ -91,3 +91,54 @@ def date_distance(a: Column, b: Column) -> Column:
     """Days, with years of 365 and months of 30."""
     days = lambda d: F.year(d) * 365 + F.month(d) * 30 + F.dayofmonth(d)
     return F.abs(days(a) - days(b))
+
+
+def l2_normalized(v: Column, k: int) -> Column:
+    """The first k components, divided by their norm if it is above 1e-10."""
+    first = F.transform(F.slice(v, 1, k), lambda x: x.cast("double"))
+    norm = F.sqrt(dot(first, first))
+    return F.when(norm > 1e-10, F.transform(first, lambda x: x / norm)).otherwise(first)
+
+
+# Words of programming languages that say nothing about a domain.
+STOPWORDS = (
+    "get", "set", "new", "init", "from", "into", "with", "self", "this", "impl", "fn", "pub", "def", "class", "mod", "use", "let", "mut", "ref", "the", "is", "to", "of", "in", "for", "on", "at", "by", "if", "or",
+    "and", "not", "an", "do", "has", "was", "test", "async", "await", "return", "true", "false", "none", "null", "void", "type", "str", "int", "bool", "float",
+)
+
+
+def sorted_join(items: Column) -> Column:
+    return F.array_join(F.array_sort(items), ",")
+
+
+def truncated(text: Column, n: int) -> Column:
+    """At most n characters."""
+    return F.substring(text, 1, n)
+
+
+def normalized_name(name: Column) -> Column:
+    return F.translate(F.lower(name), "-.", "__")
+
+
+def health_bar(value: Column, width: int = 20) -> Column:
+    """Filled and empty blocks."""
+    full = F.floor(clamp(value) * width + 0.5).cast("int")
+    return F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(width) - full))
+
+
+def size_class(kb: Column) -> Column:
+    return F.when(kb < 2000, "small").when(kb < 20000, "medium").otherwise("large")
+
+
+# Lanczos' approximation of the gamma function for g = 7.
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def ln_gamma(x: Column) -> Column:
+    """For x of at least one half."""
+    z = x - 1
+    series = F.lit(LANCZOS[0])
+    for k, c in enumerate(LANCZOS[1:], 1):
+        series = series + F.lit(c) / (z + k)
+    t = z + 7.5
+    return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.log(t) - t + F.log(series)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import clamp, direction_significant, package_of, severity_label
 from graphloom.operators.graphs import degrees, interface_width, percentile_ranks
+from graphloom.operators.tables import stored
 
 
 def quartiles(df: DataFrame, value: str) -> DataFrame:
@@ -16,17 +17,21 @@ def quartiles(df: DataFrame, value: str) -> DataFrame:
     return q.select("q1", "median", "q3", (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper_fence"), (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_fence"))
 
 
-def roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and role by degrees: orphan, regular, utility, entry_point or hub. One-row thresholds are joined, not collected."""
-    full = degrees(nodes, edges, None).select("id", (F.col("in_degree") + F.col("out_degree")).alias("full"))
-    d = degrees(nodes, edges).withColumn("degree", F.col("in_degree") + F.col("out_degree")).join(full, "id")
+def roles(nodes: DataFrame, edges: DataFrame, betweenness: DataFrame | None = None) -> DataFrame:
+    """id and role: orphan, regular, bridge, utility, entry_point or hub. betweenness: id and betweenness; without it no node is a bridge. One-row thresholds are joined, not collected."""
+    all_ = stored(degrees(nodes, edges, None).select("id", (F.col("in_degree") + F.col("out_degree")).alias("full")).join(degrees(nodes, edges), "id"), "degrees")
+    d = all_.withColumn("degree", F.col("in_degree") + F.col("out_degree"))
     d = d.withColumn("lean", F.when(F.col("degree") > 0, (F.col("out_degree") - F.col("in_degree")) / F.col("degree")).otherwise(0.0))
     hub = quartiles(d, "degree").select(F.col("upper_fence").alias("hub_fence"))
     leaning = quartiles(d.where("degree > 0").select(F.abs("lean").alias("a")), "a").select(clamp(F.col("upper_fence"), 0.5, 0.9).alias("lean_fence"))
     mean = d.agg(F.floor(F.greatest(F.avg("degree") - F.stddev_pop("degree"), F.lit(2.0))).alias("least"))
     ranked = percentile_ranks(d, "degree").join(hub).join(leaning).join(mean)
+    bridge = F.lit(False)
+    if betweenness is not None:
+        ranked = ranked.join(percentile_ranks(betweenness, "betweenness").select("id", "betweenness", F.col("rank").alias("between")), "id")
+        bridge = (F.col("betweenness") > 0) & (F.col("between") >= 0.9) & (F.col("rank") < 0.9)
     role = (
-        F.when(F.col("full") == 0, "orphan").when(F.col("degree") == 0, "regular")
+        F.when(F.col("full") == 0, "orphan").when(F.col("degree") == 0, "regular").when(bridge, "bridge")
         .when((F.col("degree") >= F.col("least")) & (F.col("lean") <= -F.col("lean_fence")), "utility")
         .when((F.col("degree") >= F.col("least")) & (F.col("lean") >= F.col("lean_fence")), "entry_point")
         .when((F.col("rank") >= 0.9) & (F.col("degree") >= F.col("hub_fence")) & (F.abs("lean") < F.col("lean_fence")), "hub").otherwise("regular")
@@ -35,11 +40,12 @@ def roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def wide_interfaces(edges: DataFrame, assign: DataFrame) -> DataFrame:
-    """Directed module pairs whose width is above the truncated fence of all widths, with severity; none below six pairs."""
-    widths = interface_width(edges, assign)
+    """Module pairs whose width is above the truncated fence of all widths, with severity, each by its wider direction (equal: the smaller name first); none below six directed pairs."""
+    widths = stored(interface_width(edges, assign), "widths")
     fence = quartiles(widths, "width").join(widths.agg(F.count("*").alias("pairs"))).select(F.floor("upper_fence").cast("long").alias("fence"), "pairs")
     back = widths.select(F.col("source_module").alias("target_module"), F.col("target_module").alias("source_module"), F.col("width").alias("reverse"))
     w = widths.join(back, ["source_module", "target_module"], "left").withColumn("reverse", F.coalesce("reverse", F.lit(0))).join(fence).where("pairs >= 6 AND width > fence")
+    w = w.where((F.col("width") > F.col("reverse")) | ((F.col("width") == F.col("reverse")) & (F.col("source_module") < F.col("target_module"))))
     excess = clamp((F.col("width") - F.col("fence")) / F.greatest(F.col("fence"), F.lit(1)))
     asymmetry = 1 - F.least("width", "reverse") / F.greatest("width", "reverse")
     sev = 0.5 * excess + 0.3 * asymmetry + 0.2 * clamp(F.col("max_target") / F.col("width"))
@@ -56,17 +62,12 @@ def direction(edges: DataFrame, assign: DataFrame) -> DataFrame:
     return pairs.withColumn("significant", direction_significant(F.least("forward", "backward"), F.col("forward") + F.col("backward")))
 
 
-def mutual_reach(reached: DataFrame) -> DataFrame:
-    """Strongly connected nodes by reachability: id and component, its least id. reached: source and target of all paths."""
-    back = reached.select(F.col("source").alias("target"), F.col("target").alias("source"))
-    return reached.join(back, ["source", "target"]).groupBy(F.col("source").alias("id")).agg(F.least(F.min("target"), F.col("id")).alias("component"))
-
-
 def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
     """Adds rejected: all ranks up to the greatest k with p_k <= k / m * alpha. Equal values share the greatest rank, so the window runs over distinct values."""
     counts = df.groupBy(p).agg(F.count("*").alias("times"))
     ranked = counts.withColumn("k", F.sum("times").over(Window.orderBy(p))).withColumn("m", F.sum("times").over(Window.partitionBy(F.lit(1))))
-    limit = ranked.where(F.col(p) <= F.col("k") / F.col("m") * alpha).agg(F.max(p).alias("limit"))
+    small = F.when(F.col("m") == 1, F.col(p) < alpha).otherwise(F.col(p) <= F.col("k") / F.col("m") * alpha)  # one value alone has to be strictly less
+    limit = ranked.where(small).agg(F.max(p).alias("limit"))
     return df.join(limit).withColumn("rejected", F.coalesce(F.col(p) <= F.col("limit"), F.lit(False))).drop("limit")
 
 
@@ -97,3 +98,18 @@ def suffix_matches(nodes: DataFrame, names: DataFrame) -> DataFrame:
     parts = F.split("id", r"\.")
     ends = nodes.select("id").distinct().select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))).alias("name"))
     return ends.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").join(names, "name").select("name", "id")
+
+
+def web_roles(nodes: DataFrame, edges: DataFrame, betweenness: DataFrame) -> DataFrame:
+    """id and role by fixed thresholds, with every edge counted, self-edges and defines too."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e")).select("e.*")
+    counts = ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    d = stored(nodes.select("id").distinct().join(counts, "id", "left").select("id", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("o", F.lit(0)).alias("o")).withColumn("degree", F.col("i") + F.col("o")), "degrees")
+    lean = (F.col("o") - F.col("i")) / F.col("degree")
+    all_ = percentile_ranks(d, "degree").join(percentile_ranks(betweenness, "betweenness").select("id", F.col("rank").alias("between")), "id").join(d.agg(F.median("degree").alias("middle")))
+    role = (
+        F.when(F.col("degree") == 0, "orphan").when((F.col("between") >= 0.9) & (F.col("rank") < 0.9), "bridge")
+        .when((F.col("degree") >= 3) & (lean <= -0.6), "utility").when((F.col("degree") >= 3) & (lean >= 0.6), "entry_point")
+        .when((F.col("rank") >= 0.9) & (F.col("degree") >= F.col("middle") + 2) & (F.abs(lean) < 0.6), "hub").otherwise("regular")
+    )
+    return all_.select("id", role.alias("role"))

@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.components import weak
+from graphloom.operators.tables import stored
+
 MOST_NODES = 3000
 """A dense component of more nodes is an error, not a silent cut: its matrix would not fit a task."""
 
@@ -42,98 +45,150 @@ class Xorshift:
         return min(at, len(weights) - 1)
 
 
-def connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """id and component (its least id) of nodes with coupling edges: least labels pass on and double, until none changes."""
-    step = edges.where("source <> target AND kind <> 'defines'").select("source", "target")
-    both = step.unionByName(step.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    labels = both.groupBy(F.col("source").alias("id")).agg(F.least(F.min("target"), F.col("id")).alias("component"))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("target"), F.col("component").alias("c")), "target").groupBy(F.col("source").alias("id")).agg(F.min("c").alias("c"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        new = labels.join(near, "id").join(jump, "component").select("id", F.least("component", "c", "far").alias("new"), "component")
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            new = new.checkpoint()
-        done = new.where("new <> component").isEmpty()
-        labels = new.select("id", F.col("new").alias("component"))
-        if done:
-            break
-    return labels
+def connected(edges: DataFrame) -> DataFrame:
+    """id and component (its least id) of nodes with coupling edges."""
+    return weak(edges.where("kind <> 'defines'"))
+
 
+def numbered(ids: DataFrame) -> DataFrame:
+    """id and k, its place among all sorted ids: counted by range, so that no task sees all."""
+    parts = stored(ids.select("id").distinct().repartitionByRange("id").withColumn("part", F.spark_partition_id()), "ids")
+    before = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = before.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("id"))
+    return stored(parts.join(F.broadcast(before.select("part", "first")), "part").select("id", (F.col("first") + own - 1).alias("k")), "numbered")
 
-def betweenness(nodes: DataFrame, edges: DataFrame, exact: int = 5000, most_edges: int = 2_000_000) -> DataFrame:
+
+def betweenness(nodes: DataFrame, edges: DataFrame, exact: int = 5000, most_edges: int = 20_000_000) -> DataFrame:
     """id and betweenness of directed, unweighted shortest paths; parallel edges count as paths. Scale 1/((n-1)(n-2)).
 
-    Sources are spread over tasks; each has the adjacency, whose size is checked before it is sent.
-    Beyond ``exact`` nodes every (n/sqrt n)-th source is taken and the result scaled up.
+    Sources are spread over tasks; each has the adjacency as three arrays, whose size is checked before it is sent
+    (12 bytes an edge). Beyond ``exact`` nodes every (n/sqrt n)-th source is taken and the result scaled up.
     """
-    pairs = edges.where("source <> target AND kind <> 'defines'").groupBy("source", "target").agg(F.count("*").alias("w"))
+    spark = nodes.sparkSession
+    places = numbered(nodes)
+    a, b = places.select(F.col("id").alias("source"), F.col("k").alias("s")), places.select(F.col("id").alias("target"), F.col("k").alias("t"))
+    pairs = stored(edges.where("source <> target AND kind <> 'defines'").groupBy("source", "target").agg(F.count("*").alias("w")).join(a, "source").join(b, "target").select(F.col("s").cast("int"), F.col("t").cast("int"), F.col("w").cast("int")), "pairs")
     if pairs.count() > most_edges:
         raise ValueError(f"more than {most_edges} different edges: lift the graph to modules first")
-    ids = [r["id"] for r in nodes.select("id").distinct().orderBy("id").collect()]
-    place = {x: k for k, x in enumerate(ids)}
-    follow: list[list[tuple[int, int]]] = [[] for _ in ids]
-    for r in pairs.collect():
-        if r["source"] in place and r["target"] in place:
-            follow[place[r["source"]]].append((place[r["target"]], r["w"]))
-    n = len(ids)
+    n, table = places.count(), pairs.toPandas().sort_values(["s", "t"])
+    ends, weights = table["t"].to_numpy(np.int32), table["w"].to_numpy(np.int32)
+    starts = np.searchsorted(table["s"].to_numpy(), np.arange(n + 1)).astype(np.int64)
     stride = 1 if n <= exact else max(1, n // int(np.sqrt(n)))
-    sources = list(range(0, n, stride))
-    spark = nodes.sparkSession
-    shared = spark.sparkContext.broadcast(follow)
+    shared = spark.sparkContext.broadcast((starts, ends, weights))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = shared.value
-        total = np.zeros(len(graph))
+        starts, ends, weights = shared.value
+        size = len(starts) - 1
+        total = np.zeros(size)
         for part in parts:
-            for s in part["s"]:
-                distance, paths, order, before = {s: 0}, {s: 1.0}, [s], {}
-                for v in order:
-                    for w, times in graph[v]:
-                        if w not in distance:
-                            distance[w], paths[w] = distance[v] + 1, 0.0
-                            order.append(w)
-                        if distance[w] == distance[v] + 1:
-                            paths[w] += paths[v] * times
-                            before.setdefault(w, []).append((v, times))
-                back = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v, times in before.get(w, ()):
-                        back[v] += paths[v] * times / paths[w] * (1 + back[w])
-                    if w != s:
-                        total[w] += back[w]
+            for source in part["id"]:
+                distance, paths = np.full(size, -1, np.int32), np.zeros(size)
+                distance[source], paths[source] = 0, 1.0
+                front, steps = np.array([source]), []
+                while front.size:
+                    many = starts[front + 1] - starts[front]
+                    at = np.repeat(starts[front] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    tails, heads, times = np.repeat(front, many), ends[at], weights[at]
+                    distance[heads[distance[heads] < 0]] = distance[front[0]] + 1
+                    down = distance[heads] == distance[front[0]] + 1
+                    tails, heads, times = tails[down], heads[down], times[down]
+                    np.add.at(paths, heads, paths[tails] * times)
+                    steps.append((tails, heads, times))
+                    front = np.unique(heads)
+                back = np.zeros(size)
+                for tails, heads, times in reversed(steps):
+                    np.add.at(back, tails, paths[tails] * times / paths[heads] * (1 + back[heads]))
+                back[source] = 0
+                total += back
         at = np.flatnonzero(total)
         yield pd.DataFrame({"k": at, "b": total[at]})
 
-    rows = spark.createDataFrame([(s,) for s in sources], "s long").repartition(min(len(sources) or 1, 64))
-    scale = (n / len(sources)) / max(1, (n - 1) * (n - 2)) if sources else 0.0
-    sums = rows.mapInPandas(run, "k long, b double").groupBy("k").agg(F.sum("b").alias("b"))
-    names = spark.createDataFrame(list(enumerate(ids)), "k long, id string")
-    return names.join(sums, "k", "left").select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+    count = len(range(0, n, stride))
+    sums = spark.range(0, n, stride, max(1, min(count, 64))).mapInPandas(run, "k long, b double").groupBy("k").agg(F.sum("b").alias("b"))
+    scale = (n / count) / max(1, (n - 1) * (n - 2)) if count else 0.0
+    return places.join(sums, "k", "left").select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def normalised_laplacian(part: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+    """part: a, b and w of each undirected edge. The nodes and I - D^-1/2 A D^-1/2; a node without weight keeps a row of zeros but for the diagonal."""
+    names = sorted(set(part["a"]) | set(part["b"]))
+    if len(names) > MOST_NODES:
+        raise ValueError(f"a part of {len(names)} nodes: project the graph first")
+    at = {x: i for i, x in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    i, j = part["a"].map(at).to_numpy(), part["b"].map(at).to_numpy()
+    np.add.at(m, (i, j), part["w"].to_numpy())
+    np.add.at(m, (j, i), np.where(i != j, part["w"].to_numpy(), 0.0))
+    d = m.sum(1)
+    scale = np.where(d > 0, 1 / np.sqrt(np.where(d > 0, d, 1)), 0.0)
+    return names, np.eye(len(names)) - scale[:, None] * m * scale[None, :]
+
+
+def decompose(edges: DataFrame, k: int = 8, least: int = 4) -> DataFrame:
+    """component, rank (from 1), value, id and x: of each weak component of at least so many nodes its smallest eigenvalues but the first, with their vectors."""
+    weights = edges.where("source <> target AND kind <> 'defines'").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.count("*").cast("double").alias("w"))
+    own = weights.join(connected(edges).select(F.col("id").alias("a"), "component"), "a")
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        names, m = normalised_laplacian(part)
+        if len(names) < least:
+            return pd.DataFrame({"component": pd.Series(dtype=object), "rank": pd.Series(dtype=int), "value": pd.Series(dtype=float), "id": pd.Series(dtype=object), "x": pd.Series(dtype=float)})
+        values, vectors = np.linalg.eigh(m)
+        many = min(k, len(names) - 1)
+        return pd.DataFrame({"component": part["component"].iloc[0], "rank": np.repeat(np.arange(1, many + 1), len(names)), "value": np.repeat(values[1 : many + 1], len(names)), "id": names * many, "x": vectors[:, 1 : many + 1].T.ravel()})
+
+    return own.groupBy("component").applyInPandas(solve, "component string, rank long, value double, id string, x double")
 
 
 def laplacian_values(edges: DataFrame, k: int = 4) -> DataFrame:
     """For each component of four nodes or more: its k smallest eigenvalues but the first, of the normalised Laplacian."""
-    labels = connected(edges)
-    weights = edges.where("source <> target AND kind <> 'defines'").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.count("*").cast("double").alias("w"))
-    own = weights.join(labels.select(F.col("id").alias("a"), "component"), "a")
+    return decompose(edges, k).select("component", "rank", "value").distinct()
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(part["a"]) | set(part["b"]))
-        if len(names) > MOST_NODES:
-            raise ValueError(f"a component of {len(names)} nodes: project the graph first")
-        if len(names) < 4:
-            return pd.DataFrame({"component": [], "rank": [], "value": []})
-        at = {x: i for i, x in enumerate(names)}
-        m = np.zeros((len(names), len(names)))
-        for a, b, w in zip(part["a"], part["b"], part["w"], strict=True):
-            m[at[a], at[b]] += w
-            m[at[b], at[a]] += w
-        scale = 1 / np.sqrt(m.sum(1))
-        values = np.linalg.eigvalsh(np.eye(len(names)) - scale[:, None] * m * scale[None, :])
-        found = values[1 : 1 + min(k, len(names) - 1)]
-        return pd.DataFrame({"component": part["component"].iloc[0], "rank": np.arange(1, len(found) + 1), "value": found})
-
-    return own.groupBy("component").applyInPandas(solve, "component string, rank long, value double")
+
+def eigengap(values: DataFrame) -> DataFrame:
+    """values: component, rank and value. component and k: after which value the widest gap is, of equal ones the last; two at least."""
+    gaps = values.withColumn("gap", F.lead("value").over(Window.partitionBy("component").orderBy("rank")) - F.col("value"))
+    return gaps.where("gap IS NOT NULL").groupBy("component").agg(F.greatest(F.max_by("rank", F.struct("gap", "rank")) + 1, F.lit(2)).alias("k"))
+
+
+def fingerprints(edges: DataFrame, k: int = 8) -> DataFrame:
+    """id, vector and values of length k: a node's places in its component's vectors, and their values, padded with zeros."""
+    rows = decompose(edges, k).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "x", "value"))).alias("r"))
+    padded = lambda f: F.slice(F.concat(F.transform("r", lambda e: e[f]), F.array_repeat(F.lit(0.0), k)), 1, k)
+    return rows.select("id", padded("x").alias("vector"), padded("value").alias("values"))
+
+
+def part_fiedler(links: DataFrame, least: int) -> DataFrame:
+    """links: part, a, b and w. Of each part of so many nodes its second smallest value, and on which side of zero each node is."""
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        names, m = normalised_laplacian(group)
+        if len(names) < least:
+            return pd.DataFrame({"part": pd.Series(dtype=object), "value": pd.Series(dtype=float), "id": pd.Series(dtype=object), "side": pd.Series(dtype=int)})
+        values, vectors = np.linalg.eigh(m)
+        return pd.DataFrame({"part": [group["part"].iloc[0]] * len(names), "value": values[1], "id": list(names), "side": np.where(vectors[:, 1] >= 0, 1, -1)})
+
+    return links.groupBy("part").applyInPandas(solve, "part string, value double, id string, side int")
+
+
+def module_fiedler(edges: DataFrame, assign: DataFrame, least: int = 5) -> DataFrame:
+    """module, size, value, id and side, for modules of at least so many nodes. Nodes without an edge inside have a weight of zero, on the diagonal."""
+    fine = edges.where("source <> target AND kind <> 'defines'")
+    a, b = assign.select(F.col("id").alias("source"), F.col("module").alias("part")), assign.select(F.col("id").alias("target"), F.col("module").alias("other"))
+    inside = fine.join(a, "source").join(b, "target").where("part = other").groupBy("part", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.count("*").cast("double").alias("w"))
+    alone = assign.select(F.col("module").alias("part"), F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("w"))
+    sizes = assign.groupBy("module").agg(F.count("*").alias("size"))
+    return part_fiedler(inside.unionByName(alone), least).withColumnRenamed("part", "module").join(sizes, "module").select("module", "size", "value", "id", "side")
+
+
+def random_fiedler(nodes: DataFrame, edges: DataFrame, assign: DataFrame, draws: int = 50) -> DataFrame:
+    """value: the same of random parts of all nodes, of the modules' median size, drawn by hashes."""
+    size = assign.groupBy("module").count().where("count >= 5").agg(F.percentile_approx("count", 0.5).alias("size"))
+    share = size.join(nodes.agg(F.count_distinct("id").alias("n"))).select((F.col("size") / F.col("n")).alias("share"))
+    drawn = nodes.select("id").distinct().join(share).withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(draws)))).where((F.pmod(F.xxhash64("id", "part"), F.lit(1 << 20)) / (1 << 20)) < F.col("share"))
+    own = drawn.select("id", F.col("part").cast("string").alias("module"))
+    return module_fiedler(edges, own, 2).select("module", "value").distinct().select("value")
 
 
 def kmeans(data: np.ndarray, k: int, seed: int, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:

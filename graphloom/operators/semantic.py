@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.scalars import clamp, cosine, dot, euclidean
+from graphloom.operators.components import weak
+from graphloom.operators.kernels import Xorshift, kmeans
+from graphloom.operators.kernels import silhouette as silhouette_of
+from graphloom.operators.modules import placed
+from graphloom.operators.tables import stored
+
 
 def centroids(vectors: DataFrame) -> DataFrame:
     """module, pos and mean in long form; sums are combined before the shuffle."""
@@ -29,3 +42,367 @@ def top_terms(terms: DataFrame, n: int) -> DataFrame:
     scored = scored.withColumn("tfidf", F.col("c") / F.col("total") * F.col("idf"))
     best = Window.partitionBy("module").orderBy(F.desc("tfidf"), "term")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select("module", "term", "rank", "tfidf")
+
+
+def unit(vectors: DataFrame) -> DataFrame:
+    """Vectors with a norm, as u of length 1."""
+    norm = F.sqrt(dot(F.col("vector"), F.col("vector")))
+    return vectors.withColumn("norm", norm).where("norm > 0").withColumn("u", F.transform("vector", lambda x: x.cast("double") / F.col("norm"))).drop("norm")
+
+
+def pair_statistics(vectors: DataFrame) -> DataFrame:
+    """One row: mean and variance (population) of the cosines of all pairs, without a pair: from the sum of unit vectors and the sum of their outer products, which every task adds up for itself."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = None, 0
+        for b in batches:
+            if b.num_rows:
+                u = np.asarray(b.column(0).flatten(), np.float64).reshape(b.num_rows, -1)
+                g = np.vstack([u.sum(0), u.T @ u])
+                total, n = g if total is None else total + g, n + b.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], names=["g", "n"])
+
+    parts = unit(vectors).select("u").mapInArrow(add, "g array<double>, n long")
+    sums = parts.select(F.posexplode("g").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
+    size = parts.agg(F.sum("n").alias("n"), F.max(F.size("g")).alias("cells")).withColumn("d", F.floor((F.sqrt(1 + 4.0 * F.col("cells")) - 1) / 2 + 0.5))
+    squares = sums.join(size).groupBy("n").agg(F.sum(F.when(F.col("k") < F.col("d"), F.col("x") * F.col("x"))).alias("first"), F.sum(F.when(F.col("k") >= F.col("d"), F.col("x") * F.col("x"))).alias("second"))
+    pairs = F.col("n") * (F.col("n") - 1)
+    mean = (F.col("first") - F.col("n")) / pairs
+    return squares.select(mean.alias("mean"), ((F.col("second") - F.col("n")) / pairs - mean * mean).alias("variance"))
+
+
+def within_across(vectors: DataFrame) -> DataFrame:
+    """One row: mean cosine of pairs within a module and across modules, from sums of unit vectors."""
+    sums = unit(vectors).select("module", F.posexplode("u").alias("k", "x")).groupBy("module", "k").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    own = sums.groupBy("module").agg(F.sum(F.col("s") * F.col("s")).alias("sq"), F.max("n").alias("n")).agg(F.sum(F.col("sq") - F.col("n")).alias("inner"), F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"), F.sum("n").alias("n"))
+    all_ = sums.groupBy("k").agg(F.sum("s").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("sq"))
+    return own.join(all_).select((F.col("inner") / F.col("pairs")).alias("within"), ((F.col("sq") - F.col("n") - F.col("inner")) / (F.col("n") * (F.col("n") - 1) - F.col("pairs"))).alias("across"))
+
+
+def quality_gate(vectors: DataFrame, permutations: int = 200, alpha: float = 0.05) -> DataFrame:
+    """One row: enough, and whether the vectors carry a signal: six or more, a variance of 0.01, a mean of 0.95 at most, and modules that are closer within than (e + 1) of (permutations + 1) random ones of their sizes.
+
+    A permutation deals the modules anew by a hash of the id; only sums per module and permutation are shuffled.
+    """
+    u = unit(vectors).select("id", "module", "u")
+    sizes = u.groupBy("module").agg(F.count("*").alias("n"))
+    shares = sizes.agg(F.array_sort(F.collect_list(F.struct("module", "n"))).alias("m"), F.sum("n").alias("all"))
+    # borders of the modules' shares of the unit interval; where a hash falls is the new module
+    borders = shares.select(F.aggregate("m", F.array(F.lit(0.0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x["n"] / F.col("all")))).alias("borders"))
+    drawn = u.join(borders).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(permutations)))).withColumn("r", F.pmod(F.xxhash64("id", "turn"), F.lit(1 << 40)) / float(1 << 40))
+    part = F.when(F.col("turn") == 0, F.concat(F.lit("="), F.col("module").cast("string"))).otherwise(F.size(F.filter("borders", lambda b: b <= F.col("r"))).cast("string"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, str], tuple[np.ndarray, int]] = {}
+        for b in batches:
+            if b.num_rows:
+                x = np.asarray(b.column(2).flatten(), np.float64).reshape(b.num_rows, -1)
+                for t, p, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), x, strict=True):
+                    old = sums.get((t, p))
+                    sums[t, p] = (row.copy(), 1) if old is None else (old[0] + row, old[1] + 1)
+        rows = [(t, p, s.tolist(), n) for (t, p), (s, n) in sums.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.list_(pa.float64()), pa.int64()), strict=True)], names=["turn", "part", "s", "n"])
+
+    partial = drawn.select("turn", part.alias("part"), "u").mapInArrow(add, "turn int, part string, s array<double>, n long")
+    sums = partial.select("turn", "part", "n", F.posexplode("s").alias("k", "x")).groupBy("turn", "part", "k").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    own = sums.groupBy("turn", "part").agg(F.sum(F.col("x") * F.col("x")).alias("sq"), F.max("n").alias("n")).groupBy("turn").agg((F.sum(F.col("sq") - F.col("n")) / F.sum(F.col("n") * (F.col("n") - 1))).alias("within"))
+    real = own.where("turn = 0").select(F.col("within").alias("real"))
+    chance = own.where("turn > 0").join(real).agg(F.sum((F.col("within") >= F.col("real")).cast("long")).alias("e")).select(((F.col("e") + 1) / (permutations + 1)).alias("p"))
+    facts = pair_statistics(vectors).join(chance).join(u.agg(F.count("*").alias("n")))
+    return facts.select(((F.col("n") >= 6) & (F.col("variance") >= 0.01) & (F.col("mean") <= 0.95) & (F.col("p") < alpha)).alias("passed"), "n")
+
+
+def null_coherence(vectors: DataFrame, groups: DataFrame) -> DataFrame:
+    """groups: g and id. One row: mean and sd (population) of the groups' mean cosines."""
+    own = groups.join(unit(vectors).select("id", "u"), "id").select("g", F.posexplode("u").alias("k", "x")).groupBy("g", "k").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    each = own.groupBy("g").agg(F.sum(F.col("s") * F.col("s")).alias("sq"), F.max("n").alias("n")).where("n > 1").select(((F.col("sq") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("c"))
+    return each.agg(F.avg("c").alias("mean"), F.stddev_pop("c").alias("sd"))
+
+
+def both_ways(links: DataFrame) -> DataFrame:
+    """a, b and w, both ways."""
+    one = links.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.count("*").cast("double").alias("w"))
+    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+
+
+def rayleigh(vectors: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: how rough the vectors are along the links, sum of w |f_i / sqrt d_i - f_j / sqrt d_j|^2 over sum of |f|^2, links between nodes with vectors only."""
+    both = both_ways(links)
+    degree = both.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("d"))
+    scaled = vectors.select("id", "vector").join(degree, "id").select("id", F.transform("vector", lambda x: x.cast("double") / F.sqrt("d")).alias("f"))
+    once = both.where("a < b").join(scaled.select(F.col("id").alias("a"), F.col("f").alias("x")), "a").join(scaled.select(F.col("id").alias("b"), F.col("f").alias("y")), "b")
+    rough = once.agg(F.sum(F.col("w") * F.pow(euclidean(F.col("x"), F.col("y")), 2)).alias("rough"))
+    size = vectors.agg(F.sum(dot(F.col("vector"), F.col("vector"))).alias("size"))
+    return rough.join(size).select(F.when(F.col("size") < 1e-15, 0.0).otherwise(F.coalesce("rough", F.lit(0.0)) / F.col("size")).alias("rayleigh"))
+
+
+def centroid_vectors(vectors: DataFrame) -> DataFrame:
+    """module and centroid: a row for each module."""
+    return centroids(vectors).groupBy("module").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda x: x["mean"]).alias("centroid"))
+
+
+def nearest_other(vectors: DataFrame, centers: DataFrame) -> DataFrame:
+    """id, module, own (similarity to its own centroid), best and similarity: the nearest centroid of another module, ties to the smaller module. Modules are few beside nodes, and travel to them as one list."""
+    table = centers.agg(F.array_sort(F.collect_list(F.struct("module", "centroid"))).alias("all"))
+    near = F.transform(F.filter("all", lambda c: c["module"] != F.col("module")), lambda c: F.struct(F.round(cosine(F.col("vector"), c["centroid"]), 9).alias("r"), (-c["module"]).alias("minus"), cosine(F.col("vector"), c["centroid"]).alias("s"), c["module"].alias("module")))
+    own = F.element_at(F.filter("all", lambda c: c["module"] == F.col("module")), 1)["centroid"]
+    return vectors.join(table).select("id", "module", cosine(F.col("vector"), own).alias("own"), F.array_max(near).alias("n")).select("id", "module", "own", F.col("n.module").alias("best"), F.col("n.s").alias("similarity"))
+
+
+def module_quality(vectors: DataFrame, centers: DataFrame, silhouette: float) -> DataFrame:
+    """module, cohesion (mean distance to its centroid), separation (least distance to another one) and confidence."""
+    cohesion = vectors.join(centers, "module").groupBy("module").agg(F.avg(euclidean(F.col("vector"), F.col("centroid"))).alias("cohesion"))
+    table = centers.agg(F.collect_list(F.struct("module", "centroid")).alias("all"))
+    apart = centers.join(table).select("module", F.array_min(F.transform(F.filter("all", lambda c: c["module"] != F.col("module")), lambda c: euclidean(F.col("centroid"), c["centroid"]))).alias("separation"))
+    ratio = F.when(F.col("separation").isNull(), 0.5).otherwise(F.col("separation") / (F.col("separation") + F.col("cohesion") + 1e-9))
+    return cohesion.join(apart, "module").withColumn("confidence", clamp(0.5 * max(silhouette, 0.0) + 0.5 * ratio))
+
+
+def annotated(vectors: DataFrame, quality: DataFrame) -> DataFrame:
+    """id (modules numbered by their order), label, members and quality."""
+    sizes = vectors.groupBy("module").agg(F.count("*").alias("members"))
+    numbers = placed(sizes, "module").withColumn("id", F.col("place") - 1)
+    return numbers.join(quality, "module").withColumn("label", F.concat(F.lit("label "), F.col("module").cast("string"))).drop("place")
+
+
+def silhouette(vectors: DataFrame, centers: DataFrame) -> DataFrame:
+    """One row: the mean of (b - a) / max(a, b), by distances to the own and to the nearest other centroid."""
+    table = centers.agg(F.collect_list(F.struct("module", "centroid")).alias("all"))
+    far = vectors.join(table).select("module", F.transform("all", lambda c: F.struct(c["module"].alias("module"), euclidean(F.col("vector"), c["centroid"]).alias("d"))).alias("d"))
+    a = F.element_at(F.filter("d", lambda x: x["module"] == F.col("module")), 1)["d"]
+    b = F.array_min(F.transform(F.filter("d", lambda x: x["module"] != F.col("module")), lambda x: x["d"]))
+    return far.select(a.alias("a"), b.alias("b")).agg(F.avg(F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)).alias("silhouette"))
+
+
+def reconstruction_error(vectors: DataFrame, centers: DataFrame) -> DataFrame:
+    """id and error: 1 less the cosine to the module's centroid."""
+    return vectors.join(centers, "module").select("id", (1 - cosine(F.col("vector"), F.col("centroid"))).alias("error"))
+
+
+def health_coherence(errors: DataFrame) -> DataFrame:
+    """One row: 1 less the median error, NaN left out, within 0 and 1."""
+    return errors.where(~F.isnan("error")).agg(clamp(1 - F.median("error")).alias("coherence"))
+
+
+def layer_conformance(vectors: DataFrame, links: DataFrame, form: dict[tuple[int, int], float]) -> DataFrame:
+    """One row: the share of directed pull that goes along the links, by an asymmetric bilinear form given by its entries; 1 for a form that is symmetric to a tenth."""
+    a, b = vectors.select(F.col("id").alias("source"), F.col("vector").alias("x")), vectors.select(F.col("id").alias("target"), F.col("vector").alias("y"))
+    skew = sum((form.get((j, i), 0.0) - v) ** 2 for (i, j), v in form.items()) ** 0.5 / max(sum(v * v for v in form.values()) ** 0.5, 1e-12)
+    sigmoid = lambda z: 1 / (1 + F.exp(-z))
+    pull = lambda p, q: sum((F.element_at(p, i + 1) * v * F.element_at(q, j + 1) for (i, j), v in form.items()), F.lit(0.0))
+    ds = sigmoid(pull("y", "x")) - sigmoid(pull("x", "y"))
+    return links.join(a, "source").join(b, "target").select(ds.alias("ds")).agg((F.lit(1.0) if skew < 0.1 else 1 - F.sum(F.greatest("ds", F.lit(0.0))) / F.sum(F.abs("ds"))).alias("conformance"))
+
+
+def health_score(coherence_row: DataFrame, flow_row: DataFrame) -> DataFrame:
+    c, f = F.col("coherence"), F.col("conformance")
+    return coherence_row.join(flow_row).select(F.when((c <= 0) | (f <= 0), 0.0).otherwise(F.pow(c, 0.7) * F.pow(f, 0.3)).alias("score"))
+
+
+def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """df with the rank of value from 1, equal ones sharing their mean; by running counts of distinct values."""
+    counts = df.groupBy(value).agg(F.count("*").alias("times"))
+    upto = counts.withColumn("upto", F.sum("times").over(Window.orderBy(value)))
+    return df.join(upto.select(value, (F.col("upto") - (F.col("times") - 1) / 2).alias(name)), value)
+
+
+def spearman(scores: DataFrame) -> DataFrame:
+    """scores: id, a and b. One row: the correlation of their ranks."""
+    return average_ranks(average_ranks(scores, "a", "ra"), "b", "rb").agg(F.corr("ra", "rb").alias("spearman"))
+
+
+def top_overlap(scores: DataFrame, share: float = 0.2) -> DataFrame:
+    """One row: the Jaccard similarity of the two scores' top shares, ties to the smaller id."""
+    many = scores.agg(F.ceil(F.count("*") * share).alias("many"))
+    tops = [placed(scores, F.desc(c), "id").join(many).where("place <= many").select("id", F.lit(1).alias(c)) for c in ("a", "b")]
+    both = tops[0].join(tops[1], "id", "full")
+    return both.agg((F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)) / F.count("*")).alias("overlap"))
+
+
+def rank_auc(scores: DataFrame) -> DataFrame:
+    """scores: id, score and positive. One row: how likely a positive one scores above another, ties half."""
+    r = average_ranks(scores, "score", "rank").agg(F.sum(F.when(F.col("positive"), F.col("rank"))).alias("sum"), F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("n"))
+    return r.select(((F.col("sum") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n"))).alias("auc"))
+
+
+def neighbours(links: DataFrame) -> DataFrame:
+    return links.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(links.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
+
+
+def third_neighbour(vectors: DataFrame, links: DataFrame, k: int = 3) -> DataFrame:
+    """id and third: the similarity to the k-th nearest neighbour of the own module, for nodes that have so many. Only the k best of each task's are kept."""
+    x, y = vectors.select(F.col("id").alias("a"), F.col("module").alias("m"), F.col("vector").alias("x")), vectors.select(F.col("id").alias("b"), F.col("module").alias("n"), F.col("vector").alias("y"))
+    near = neighbours(links).join(x, "a").join(y, "b").where("m = n").select(F.col("a").alias("id"), "b", cosine(F.col("x"), F.col("y")).alias("s"))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "b"))
+    return near.withColumn("k", nth).where(F.col("k") == k).select("id", F.col("s").alias("third"))
+
+
+def misplaced(vectors: DataFrame, links: DataFrame, null: float) -> DataFrame:
+    """id, own, best and severity: nodes of larger modules that are far nearer to another coherent module, which they have a link with."""
+    centers, sizes = centroid_vectors(vectors), vectors.groupBy("module").agg(F.count("*").alias("n"))
+    fine = coherence(vectors).where(F.col("coherence") >= null).select("module")
+    near = nearest_other_of(vectors, centers, centers.join(fine, "module")).withColumnRenamed("module", "own_module")
+    gap = F.col("similarity") - F.col("own")
+    asked = near.where((gap > 0) & (gap >= max(0.3 * null, 0.05)) & (F.col("own") < max(null, 0.1))).join(sizes.withColumnRenamed("module", "own_module"), "own_module").where("n >= 6")
+    member = vectors.select(F.col("id").alias("b"), F.col("module").alias("best"))
+    linked = neighbours(links).join(member, "b").select(F.col("a").alias("id"), "best").distinct()
+    third = third_neighbour(vectors, links)
+    kept = asked.join(linked, ["id", "best"], "left_semi").join(third, "id", "left").where(~F.coalesce(F.col("third") > F.col("similarity"), F.lit(False)))
+    flagged = kept.groupBy("own_module").agg(F.count("*").alias("flagged"))
+    kept = kept.join(flagged, "own_module").where(F.col("flagged") / F.col("n") <= 0.15 + 3 * F.sqrt(0.1275 / F.col("n")))
+    to = links.join(vectors.select(F.col("id").alias("target"), F.col("module").alias("there")), "target").select(F.col("source").alias("id"), "there")
+    out = kept.select("id", "own_module").join(to, "id").groupBy("id").agg((1 - F.avg((F.col("there") == F.col("own_module")).cast("double"))).alias("isolation"))
+    severity = 0.5 * clamp(gap / 0.4) + 0.3 * clamp(F.col("similarity") / 0.8) + 0.2 * F.coalesce("isolation", F.lit(0.5))
+    return kept.join(out, "id", "left").select("id", F.col("own_module").alias("own"), "best", clamp(severity).alias("severity"))
+
+
+def nearest_other_of(vectors: DataFrame, centers: DataFrame, allowed: DataFrame) -> DataFrame:
+    """As nearest_other, but the other module has to be one of those allowed."""
+    own = vectors.join(centers, "module").select("id", cosine(F.col("vector"), F.col("centroid")).alias("own"))
+    # a module that no vector has stands for the own one, so that only others are met
+    return nearest_other(vectors, allowed).drop("own").join(own, "id")
+
+
+def shadow_dependencies(vectors: DataFrame, links: DataFrame, least: float = 0.85, blocks: int = 16) -> DataFrame:
+    """a, b and similarity: alike nodes of different modules that no path of three links joins.
+
+    The rows meet in blocks, one pair of blocks a task, as matrix products: all pairs are judged, and only those above the bar become rows.
+    """
+    u = unit(vectors).select("id", "module", "u").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    cells = u.withColumn("other", F.explode(every)).select("id", "module", "u", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+
+    def meet(t: pa.Table) -> pa.Table:
+        ids, modules, block = t.column("id").to_numpy(), np.array(t.column("module").to_pylist(), object), t.column("block").to_numpy()
+        x = np.asarray(t.column("u").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        s = x[left] @ x[right].T
+        p, q = np.nonzero((s > least) & (modules[left][:, None] != modules[right][None, :]) & ((ids[left][:, None] < ids[right][None, :]) if i == j else True))
+        a, b = ids[left[p]], ids[right[q]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "similarity": pa.array(s[p, q], pa.float64())})
+
+    pairs = stored(cells.groupBy("i", "j").applyInArrow(meet, "a long, b long, similarity double"), "alike")
+    near = neighbours(links).withColumnRenamed("a", "x").withColumnRenamed("b", "y")
+    front = pairs.select("a", "b", F.col("a").alias("at"))
+    joined = None
+    for _ in range(3):
+        front = front.join(near, front["at"] == near["x"]).select("a", "b", F.col("y").alias("at")).distinct()
+        met = front.where("at = b").select("a", "b")
+        joined = met if joined is None else joined.unionByName(met)
+    return pairs.join(joined.distinct(), ["a", "b"], "left_anti")
+
+
+def redundant_apis(vectors: DataFrame, links: DataFrame, least: float = 0.7, overlap: float = 0.5) -> DataFrame:
+    """component, module, members, mean_similarity and mean_overlap: groups of three or more alike entry points of one module that call the same members of it.
+
+    Pairs come from shared callees, so unrelated entry points never meet.
+    """
+    own = vectors.select("id", "module")
+    ends = links.join(own.select(F.col("id").alias("source"), F.col("module").alias("sm")), "source").join(own.select(F.col("id").alias("target"), F.col("module").alias("tm")), "target")
+    entries = ends.where("sm <> tm").select(F.col("target").alias("id")).distinct()
+    callees = ends.where("sm = tm").select(F.col("source").alias("id"), F.col("target").alias("callee")).distinct().join(entries, "id", "left_semi")
+    sizes = callees.groupBy("id").agg(F.count("*").alias("n"))
+    a, b = callees.select(F.col("id").alias("a"), "callee"), callees.select(F.col("id").alias("b"), "callee")
+    both = a.join(b, "callee").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common")).join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    share = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+    v = vectors.select("id", "module", "vector")
+    pairs = both.withColumn("overlap", share).where(F.col("overlap") > overlap).join(v.select(F.col("id").alias("a"), F.col("module"), F.col("vector").alias("x")), "a").join(v.select(F.col("id").alias("b"), F.col("module").alias("mb"), F.col("vector").alias("y")), "b").where("module = mb")
+    pairs = stored(pairs.withColumn("similarity", cosine(F.col("x"), F.col("y"))).where(F.col("similarity") > least).select("a", "b", "module", "overlap", "similarity"), "alike")
+    groups = weak(pairs.select(F.col("a").alias("source"), F.col("b").alias("target")))
+    many = groups.groupBy("component").agg(F.count("*").alias("members")).where("members >= 3")
+    facts = pairs.join(groups.select(F.col("id").alias("a"), "component"), "a").groupBy("component", "module").agg(F.avg("similarity").alias("mean_similarity"), F.avg("overlap").alias("mean_overlap"))
+    return many.join(facts, "component").select("component", "module", "members", "mean_similarity", "mean_overlap")
+
+
+def as_matrix(part: pd.DataFrame) -> np.ndarray:
+    return np.stack([np.asarray(x, float) for x in part["vector"]]) if len(part) else np.zeros((0, 0))
+
+
+def incoherent_modules(vectors: DataFrame, null: float, draws: int = 50) -> DataFrame:
+    """module, k and silhouette: modules below the null coherence that fall into clusters which random partitions do not give, and whose centroids are no closer than the null. A module is one task's."""
+    low = coherence(vectors).where(F.col("coherence") < null).select("module")
+
+    def look(part: pd.DataFrame) -> pd.DataFrame:
+        data = as_matrix(part.sort_values("id"))
+        best = None
+        for k in range(2, max(2, min(len(data) // 3, 6)) + 1):
+            found, centers = kmeans(data, k, 42)
+            s = silhouette_of(data, found, centers)
+            if best is None or s > best[1] + 0.05:
+                best = (k, s, centers)
+        k, s, centers = best
+        random = Xorshift(555 + int(part["module"].iloc[0]))
+        chance = []
+        for _ in range(draws):
+            deal = np.array([random.below(k) for _ in range(len(data))])
+            chance.append(silhouette_of(data, deal, np.stack([data[deal == c].mean(0) if (deal == c).any() else np.zeros(data.shape[1]) for c in range(k)])))
+        c = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-15)
+        apart = (c @ c.T)[np.triu_indices(len(c), 1)].mean()
+        fine = s > sorted(chance)[int(0.95 * draws)] and apart < null
+        return pd.DataFrame({"module": [int(part["module"].iloc[0])], "k": [k], "silhouette": [s]}) if fine else pd.DataFrame({"module": pd.Series(dtype=int), "k": pd.Series(dtype=int), "silhouette": pd.Series(dtype=float)})
+
+    return vectors.join(low, "module").select("id", "module", "vector").groupBy("module").applyInPandas(look, "module long, k long, silhouette double")
+
+
+SEEDS = (42, 137, 271)
+
+
+def kmeans_best(vectors: DataFrame, k: int, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """id and cluster: of several starts, a task each, the one of the best silhouette, ties to the first. The vectors go to each start's task whole: this is for fingerprints of modules and for samples."""
+    def start(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id")
+        data = as_matrix(part)
+        found, centers = kmeans(data, k, int(part["seed"].iloc[0]))
+        return pd.DataFrame({"seed": part["seed"], "id": part["id"], "cluster": found, "s": round(silhouette_of(data, found, centers), 9)})
+
+    order = F.create_map(*[F.lit(x) for i, s in enumerate(seeds) for x in (s, i)])
+    tries = stored(vectors.select("id", "vector").withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))).groupBy("seed").applyInPandas(start, "seed int, id long, cluster int, s double"), "starts")
+    best = tries.select("seed", "s").distinct().agg(F.max_by("seed", F.struct("s", -F.element_at(order, F.col("seed")))).alias("seed"))
+    return tries.join(best, "seed", "left_semi").select("id", "cluster")
+
+
+def k_sweep(vectors: DataFrame, ks: range) -> DataFrame:
+    """k and silhouette of each number of clusters, a task each."""
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        data, k = as_matrix(part.sort_values("id")), int(part["k"].iloc[0])
+        return pd.DataFrame({"k": [k], "silhouette": [round(max(silhouette_of(data, *kmeans(data, k, s)) for s in SEEDS), 6)]})
+
+    return vectors.select("id", "vector").withColumn("k", F.explode(F.array(*map(F.lit, ks)))).groupBy("k").applyInPandas(one, "k int, silhouette double")
+
+
+def random_silhouette(vectors: DataFrame, k: int, draws: int = 5, seed: int = 43) -> DataFrame:
+    """One row: the mean silhouette of so many random partitions."""
+    def deal(part: pd.DataFrame) -> pd.DataFrame:
+        data, random, found = as_matrix(part.sort_values("id")), Xorshift(seed), []
+        for _ in range(draws):
+            own = np.array([random.below(k) for _ in range(len(data))])
+            found.append(silhouette_of(data, own, np.stack([data[own == c].mean(0) if (own == c).any() else np.zeros(data.shape[1]) for c in range(k)])))
+        return pd.DataFrame({"silhouette": [round(float(np.mean(found)), 6)]})
+
+    return vectors.select("id", "vector").groupBy().applyInPandas(deal, "silhouette double")
+
+
+def adjusted_information(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left: id and a; right: id and b. One row: adjusted mutual information, (MI - EMI) / (mean entropy - EMI). Only the contingency table leaves Spark, to one task."""
+    table = left.join(right, "id").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        t = part.pivot_table(index="a", columns="b", values="n", fill_value=0).to_numpy(float)
+        n, ra, rb = t.sum(), t.sum(1), t.sum(0)
+        own = t[t > 0]
+        mi = float((own / n * np.log(own * n / np.outer(ra, rb)[t > 0])).sum())
+        lg = np.array([math.lgamma(x + 1) for x in range(int(n) + 1)])
+        emi = 0.0
+        for x in ra.astype(int):
+            for y in rb.astype(int):
+                k = np.arange(max(1, x + y - int(n)), min(x, y) + 1)
+                p = np.exp(lg[x] + lg[y] + lg[int(n) - x] + lg[int(n) - y] - lg[int(n)] - lg[k] - lg[x - k] - lg[y - k] - lg[int(n) - x - y + k])
+                emi += float((k / n * np.log(n * k / (x * y)) * p).sum())
+        ha, hb = (float(-(r / n * np.log(r / n)).sum()) for r in (ra, rb))
+        below = (ha + hb) / 2 - emi
+        return pd.DataFrame({"ami": [0.0 if below <= 1e-15 else max(-1.0, min(1.0, (mi - emi) / below))]})
+
+    return table.groupBy().applyInPandas(solve, "ami double")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
+from graphloom.operators import components as C
 from graphloom.operators import diagnostics as D
 from graphloom.operators import graphs as G
 from graphloom.operators import kernels as K
@@ -138,7 +139,10 @@ FENCE = "f AS (SELECT CAST(floor(q[2] + 1.5 * (q[2] - q[1])) AS BIGINT) AS fence
 SEV = "least(1.0, (0.5 * least(1.0, greatest(0.0, (a.width - fence) / greatest(fence, 1))) + 0.3 * (1 - least(a.width, coalesce(b.width, 0)) / greatest(a.width, coalesce(b.width, 0))) + 0.2 * least(1.0, a.max_target / a.width)) * CASE WHEN coalesce(b.width, 0) > fence THEN 1.3 ELSE 1.0 END * CASE WHEN split_part(a.source_module, '.', 1) = split_part(a.target_module, '.', 1) THEN 0.7 ELSE 1.0 END)"
 
 
-@query("issue_wide_interface", "supply", more(f"{ASSIGN}, {WIDTH}, {FENCE}", f"SELECT a.source_module, a.target_module, a.width, coalesce(b.width, 0) AS reverse, {rnd(SEV)} AS severity FROM iw a LEFT JOIN iw b ON a.source_module = b.target_module AND a.target_module = b.source_module, f WHERE n >= 6 AND a.width > fence"))
+WIDER = "(a.width > coalesce(b.width, 0) OR (a.width = b.width AND a.source_module < a.target_module))"
+
+
+@query("issue_wide_interface", "supply", more(f"{ASSIGN}, {WIDTH}, {FENCE}", f"SELECT a.source_module, a.target_module, a.width, coalesce(b.width, 0) AS reverse, {rnd(SEV)} AS severity FROM iw a LEFT JOIN iw b ON a.source_module = b.target_module AND a.target_module = b.source_module, f WHERE n >= 6 AND a.width > fence AND {WIDER}"))
 def _(nodes, edges):
     return D.wide_interfaces(edges, nations(nodes)).select("source_module", "target_module", "width", "reverse", S.rounded(F.col("severity")).alias("severity"))
 
@@ -179,19 +183,23 @@ def _(nodes, edges):
 REACH = "st AS (SELECT DISTINCT source, target FROM edges WHERE source <> target), r AS (SELECT source, target, 1 AS d FROM st UNION SELECT r.source, st.target, d + 1 FROM r JOIN st ON r.target = st.source WHERE d < {k} AND r.source <> st.target)"
 
 
-@query("bfs_distance", "supp", more(REACH.format(k=4), "SELECT source, target, min(d) AS d FROM r GROUP BY source, target"))
+@query("bfs_distance", "flow", more(REACH.format(k=4), "SELECT source, target, min(d) AS d FROM r GROUP BY source, target"))
 def _(nodes, edges):
     return G.reach(edges, 4)
 
 
-@query("scc_tarjan", "events", more(REACH.format(k=6), ", x AS (SELECT DISTINCT source, target FROM r) SELECT a.source AS id, least(min(a.target), a.source) AS component FROM x a JOIN x b ON a.source = b.target AND a.target = b.source GROUP BY a.source"))
+STRONG = "st AS (SELECT DISTINCT source, target FROM edges WHERE source <> target AND kind <> 'defines'), r AS (SELECT source, target FROM st UNION SELECT r.source, st.target FROM r JOIN st ON r.target = st.source), scc AS (SELECT a.source AS id, min(a.target) AS component FROM r a JOIN r b ON a.source = b.target AND a.target = b.source GROUP BY a.source HAVING count(DISTINCT a.target) > 1)"
+
+
+@query("scc_tarjan", "flow", more(STRONG, "SELECT * FROM scc"))
 def _(nodes, edges):
-    return D.mutual_reach(G.reach(edges, 6).select("source", "target"))
+    return C.strong(edges.where("kind <> 'defines'"))
 
 
-@query("rwpe", "supp", more("b AS (SELECT source, target, count(*) AS w FROM (SELECT source, target FROM edges WHERE source <> target UNION ALL SELECT target, source FROM edges WHERE source <> target) x GROUP BY ALL), p AS (SELECT source, target, w / sum(w) OVER (PARTITION BY source) AS p FROM b)", f"SELECT a.source AS id, {rnd('sum(a.p * c.p)')} AS p2 FROM p a JOIN p c ON a.source = c.target AND a.target = c.source GROUP BY a.source"))
+@query("rwpe", "flow", more(f"b AS (SELECT source, target, count(*) AS w FROM (SELECT source, target FROM edges WHERE source <> target UNION ALL SELECT target, source FROM edges WHERE source <> target) x GROUP BY ALL), p AS (SELECT source, target, w / sum(w) OVER (PARTITION BY source) AS p FROM b), w1 AS (SELECT * FROM p), {', '.join(f'w{t} AS MATERIALIZED (SELECT a.source, c.target, sum(a.p * c.p) AS p FROM w{t - 1} a JOIN w1 c ON a.target = c.source GROUP BY ALL)' for t in range(2, 9))}", " UNION ALL ".join(f"SELECT DISTINCT source AS id, {t} AS steps, {rnd(f'round(coalesce((SELECT sum(a.p * c.p) FROM w{t // 2} a JOIN w{t - t // 2} c ON a.source = c.target AND a.target = c.source WHERE a.source = b.source), 0), 9)') if t > 1 else '0.0'} AS p FROM b" for t in range(1, 17))))
 def _(nodes, edges):
-    return G.rwpe2(edges).select("id", S.rounded(F.col("p2")).alias("p2"))
+    # first to 9 digits, so that sums of other order do not fall on both sides of a half
+    return G.return_probabilities(edges, 16).select("id", "steps", S.rounded(F.round("p", 9)).alias("p"))
 
 
 @query("win_percentile_ranks", "supp", more(DEGREES, f"SELECT id, {rnd('percent_rank() OVER (ORDER BY in_degree)')} AS rank FROM deg"))
@@ -223,17 +231,10 @@ def _(spark, d):
 
 @query("win_org_cap", None, "SELECT c_custkey, c_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer) x WHERE k <= 8")
 def _(spark, d):
-    from pyspark.sql import Window
-
     k = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
     return views.table(spark, d, "customer").withColumn("k", k).where("k <= 8").select("c_custkey", "c_nationkey")
 
 
-@query("fn_tokenize_id", None, None)
-def _(spark, d):
-    return views.table(spark, d, "part").select("p_partkey", F.array_join(S.tokens_of(F.replace("p_name", F.lit(" "), F.lit("_"))), " ").alias("tokens"))
-
-
 @query("fn_date_distance", None, "SELECT o_orderkey, CAST(abs((year(o_orderdate) * 365 + month(o_orderdate) * 30 + day(o_orderdate)) - (1995 * 365 + 6 * 30 + 17)) AS INTEGER) AS days FROM orders")
 def _(spark, d):
     return views.table(spark, d, "orders").select("o_orderkey", S.date_distance(F.col("o_orderdate"), F.lit("1995-06-17").cast("date")).alias("days"))
@@ -288,14 +289,12 @@ def _(nodes, edges):
 
 @query("mutate_inject_cycle", "supp", more("m AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM nodes)", "SELECT source, target, kind FROM edges UNION ALL SELECT a.id, b.id, 'calls' FROM m a JOIN m b ON b.k = a.k % 3 + 1 WHERE a.k <= 3"))
 def _(nodes, edges):
-    from pyspark.sql import Window
-
     ring = nodes.select("id").orderBy("id").limit(3).withColumn("k", F.row_number().over(Window.orderBy("id")))
     to = ring.select(F.col("id").alias("target"), F.when(F.col("k") == 1, 3).otherwise(F.col("k") - 1).alias("k"))
     return edges.unionByName(ring.join(to, "k").select(F.col("id").alias("source"), "target", F.lit("calls").alias("kind")))
 
 
-@query("set_jaccard", "supp", more("o AS (SELECT DISTINCT source, target FROM edges), n AS (SELECT source, count(*) AS n FROM o GROUP BY source), x AS (SELECT a.source AS a, b.source AS b, count(*) AS both_n FROM o a JOIN o b ON a.target = b.target AND a.source < b.source GROUP BY ALL)", f"SELECT a, b, {rnd('both_n / (p.n + q.n - both_n)')} AS jaccard FROM x JOIN n p ON a = p.source JOIN n q ON b = q.source"))
+@query("set_jaccard", "flow", more("o AS (SELECT DISTINCT source, target FROM edges), n AS (SELECT source, count(*) AS n FROM o GROUP BY source), x AS (SELECT a.source AS a, b.source AS b, count(*) AS both_n FROM o a JOIN o b ON a.target = b.target AND a.source < b.source GROUP BY ALL)", f"SELECT a, b, {rnd('both_n / (p.n + q.n - both_n)')} AS jaccard FROM x JOIN n p ON a = p.source JOIN n q ON b = q.source"))
 def _(nodes, edges):
     own = edges.select("source", "target").distinct()
     n = own.groupBy("source").agg(F.count("*").alias("n"))
@@ -307,32 +306,19 @@ def _(nodes, edges):
 CC = "b AS (SELECT DISTINCT source, target FROM (SELECT source, target FROM edges WHERE source <> target UNION ALL SELECT target, source FROM edges WHERE source <> target) x), r AS (SELECT source AS id, source AS c FROM b UNION SELECT b.target, r.c FROM r JOIN b ON r.id = b.source)"
 
 
-@query("connected_components", "supp", more(CC, "SELECT id, min(c) AS component FROM r GROUP BY id"))
+@query("connected_components", "flow", more(CC, "SELECT id, min(c) AS component FROM r GROUP BY id"))
 def _(nodes, edges):
     return K.connected(edges)
 
 
-@query("betweenness_brandes", "supp", None)
-def _(nodes, edges):
-    return K.betweenness(nodes, edges).select("id", S.rounded(F.col("betweenness"), 8).alias("betweenness"))
-
-
-@query("laplacian_eigh", "supp", None)
+@query("laplacian_eigh", "flow", None)
 def _(nodes, edges):
     return K.laplacian_values(edges).select("component", "rank", S.rounded(F.col("value"), 6).alias("value"))
 
 
-@query("win_period_sampling", None, None)
-def _(spark, d):
-    days = views.table(spark, d, "events").select("event_type", F.to_date("ts").alias("day")).distinct()
-    return K.period_sample(days, "event_type", "day", 7)
-
-
 @query("win_nearest_rank_pctl", "supp", more(DEGREES, "SELECT list_sort(list(in_degree))[CAST(least(floor(count(*) * 0.85), count(*) - 1) AS INTEGER) + 1] AS p85 FROM deg"))
 def _(nodes, edges):
     d = G.degrees(nodes, edges)
-    from pyspark.sql import Window
-
     # by running counts of distinct values, so that no list of all values is formed
     c = d.groupBy("in_degree").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("in_degree"))).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
     return c.where(F.col("upto") > F.least(F.floor(F.col("total") * 0.85), F.col("total") - 1)).agg(F.min("in_degree").alias("p85"))
@@ -391,10 +377,10 @@ def _(spark, d):
     return both.join(x, "a").join(y, "b").groupBy(F.col("a").alias("id")).agg(S.rounded(F.sum(1 - S.cosine(F.col("x"), F.col("y"))) / F.count("*")).alias("variation"))
 
 
-@query("cycle_freedom", "events", more(REACH.format(k=6), f", x AS (SELECT DISTINCT source, target FROM r), c AS (SELECT DISTINCT a.source AS id FROM x a JOIN x b ON a.source = b.target AND a.target = b.source) SELECT {rnd('1 - (SELECT count(*) FROM c) / (SELECT count(*) FROM nodes)')} AS cycle_freedom"))
+@query("cycle_freedom", "flow", more(STRONG.replace(" AND kind <> 'defines'", ""), f"SELECT {rnd('1 - (SELECT count(*) FROM scc) / (SELECT count(DISTINCT id) FROM nodes)')} AS cycle_freedom"))
 def _(nodes, edges):
-    caught = D.mutual_reach(G.reach(edges, 6).select("source", "target")).agg(F.count("*").alias("c"))
-    return nodes.agg(F.count("*").alias("n")).join(caught).select(S.rounded(1 - F.col("c") / F.col("n")).alias("cycle_freedom"))
+    caught = C.strong(edges).agg(F.count("*").alias("c"))
+    return nodes.agg(F.count_distinct("id").alias("n")).join(caught).select(S.rounded(1 - F.col("c") / F.col("n")).alias("cycle_freedom"))
 
 
 @query("win_bh_fdr", None, "WITH p AS (SELECT s_suppkey, (s_suppkey * 7919 % 1000) / 1000.0 * ((s_suppkey % 10) / 10.0) AS p FROM supplier), r AS (SELECT *, count(*) OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM p) SELECT s_suppkey, coalesce(p <= (SELECT max(p) FROM r WHERE CAST(p AS DOUBLE) <= CAST(k AS DOUBLE) / m * 0.05), false) AS rejected FROM r")
@@ -421,11 +407,13 @@ def _(nodes, edges):
 @query("topk_anomalous_nodes", "supp", more(DEGREES, "SELECT id, in_degree FROM (SELECT *, row_number() OVER (ORDER BY in_degree DESC, id) AS k, count(*) OVER () AS n FROM deg) x WHERE k <= ceil(0.2 * n)"))
 def _(nodes, edges):
     d = G.degrees(nodes, edges).select("id", "in_degree")
-    top = int(-(-d.count() // 5))
-    return d.orderBy(F.desc("in_degree"), "id").limit(top)
+    # degrees that begin among the first; of the last such one, the least ids
+    c = d.groupBy("in_degree").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("in_degree")))).withColumn("top", F.ceil(F.sum("n").over(Window.partitionBy(F.lit(1))) * 0.2))
+    own = d.join(c.where("upto - n < top"), "in_degree").withColumn("k", F.row_number().over(Window.partitionBy("in_degree").orderBy("id")))
+    return own.where("upto - n + k <= top").select("id", "in_degree")
 
 
-@query("filter_issue_severity", "supply", more(f"{ASSIGN}, {WIDTH}, {FENCE}", f"SELECT a.source_module, a.target_module, CASE WHEN {SEV} >= 0.75 THEN 'high' ELSE 'medium' END AS label FROM iw a LEFT JOIN iw b ON a.source_module = b.target_module AND a.target_module = b.source_module, f WHERE n >= 6 AND a.width > fence AND {SEV} >= 0.45"))
+@query("filter_issue_severity", "supply", more(f"{ASSIGN}, {WIDTH}, {FENCE}", f"SELECT a.source_module, a.target_module, CASE WHEN {SEV} >= 0.75 THEN 'high' ELSE 'medium' END AS label FROM iw a LEFT JOIN iw b ON a.source_module = b.target_module AND a.target_module = b.source_module, f WHERE n >= 6 AND a.width > fence AND {WIDER} AND {SEV} >= 0.45"))
 def _(nodes, edges):
     return D.wide_interfaces(edges, nations(nodes)).where("label IN ('high', 'medium')").select("source_module", "target_module", "label")
 
@@ -445,17 +433,22 @@ def _(nodes, edges):
     return both.where(~gone).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("sort_components", "supp", more(CC + ", k AS (SELECT id, min(c) AS component FROM r GROUP BY id)", "SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) AS place FROM k GROUP BY component"))
+@query("sort_components", "flow", more(CC + ", k AS (SELECT id, min(c) AS component FROM r GROUP BY id)", "SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) AS place FROM k GROUP BY component"))
 def _(nodes, edges):
-    from pyspark.sql import Window
-
     sizes = K.connected(edges).groupBy("component").agg(F.count("*").alias("size"))
     return sizes.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "component")).cast("long"))
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
+
+
+def _load() -> None:
+    """The other modules of queries register theirs when they are imported."""
+    from graphloom.plans import records, structure, vectors  # noqa: F401

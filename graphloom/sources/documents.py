@@ -40,3 +40,8 @@ def source_windows(nodes: DataFrame, files: DataFrame, most: int = 24_000) -> Da
     cut = F.array_join(F.slice(lines, F.col("line"), F.greatest(end - F.col("line") + 1, F.lit(1))), "\n")
     joined = nodes.where("line IS NOT NULL").join(files.select("file", "text"), "file").where(F.size(lines) >= F.col("line"))
     return joined.select("id", cut.alias("cut"), "kind").where(F.trim("cut") != "").select("id", F.substring(F.concat(F.lit("# "), F.col("kind"), F.lit(" "), F.col("id"), F.lit("\n"), F.col("cut")), 1, most).alias("text"))
+
+
+def lines_within(spans: DataFrame, lines: DataFrame) -> DataFrame:
+    """spans: file, first and last; lines: file and line. The lines of each span; files are joined by equality, lines compared within."""
+    return spans.join(lines, "file").where("line BETWEEN first AND last")
