@@ -25,10 +25,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where none is named, as in tests, one of our own."""
+    """Use the cluster's shared folder; where none is named, one of our own, and that only on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and context.master.split("[")[0] != "local":
+            raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
 
 

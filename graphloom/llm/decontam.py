@@ -33,9 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import give_back
+from graphloom.llm.common import give_back, spare
 
 WIDTH = 13
 SEPARATORS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -47,22 +48,24 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Block:
-    """Some benchmark items: their vocabulary, the windows as numbers, and which pairs of words they have."""
+    """Some benchmark items: their vocabulary, the different windows as numbers, whose they are, and which pairs of words they have."""
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], width: int):
         self.vocab: dict[bytes, int] = {}
         self.ids = [i for i, _ in items]
-        rows, owners, sizes = [], [], []
+        windows: dict[tuple[int, ...], set[int]] = {}
         for k, (_, ws) in enumerate(items):
             codes = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws]
             for at in range(max(1, len(codes) - width + 1)):
-                rows.append(codes[at : at + width])
-                owners.append(k)
-                sizes.append(min(width, len(codes)))
+                windows.setdefault(tuple(codes[at : at + width]), set()).add(k)
+        rows, sizes = list(windows), list(map(len, windows))
+        # owners of window i: from firsts[i] to firsts[i + 1]
+        self.firsts = np.cumsum([0, *map(len, windows.values())])
+        self.owners = np.array([k for own in windows.values() for k in sorted(own)], np.int64)
         self.width, self.windows = width, np.zeros((len(rows), width), np.int64)
         for row, codes in zip(self.windows, rows, strict=True):
             row[width - len(codes) :] = codes  # right-aligned, as the search goes backward
-        self.owners, self.sizes = np.array(owners, np.int64), np.array(sizes, np.int64)
+        self.sizes = np.array(sizes, np.int64)
         self.base = len(self.vocab) + 1
         pairs = {a * self.base + b for codes in rows for a, b in zip(codes, codes[1:], strict=False)}
         self.pairs = np.array(sorted(pairs), np.int64)
@@ -275,7 +278,7 @@ def _search(docs: DataFrame, shared, text: str, shard_words: int) -> DataFrame:
                 for k in range(part.num_rows):
                     s, e = edges[at + k], edges[at + k + 1]
                     first, last = start[s:e], start[s:e] + size[s:e]
-                    names = {block.ids[i] for i in np.unique(block.owners[window[s:e]]).tolist()} - {None}
+                    names = {block.ids[i] for w in np.unique(window[s:e]).tolist() for i in block.owners[block.firsts[w] : block.firsts[w + 1]].tolist()} - {None}
                     if old:
                         first = np.concatenate([first, np.array([x["start"] for x in old[0][k]], np.int64)])
                         last = np.concatenate([last, np.array([x["end"] for x in old[0][k]], np.int64)])
@@ -321,10 +324,12 @@ def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs without the spans of benchmark windows; a document of which no word is left goes, one that had none stays."""
-    keep = list(docs.columns)
-    found = find(docs, benchmark, text, **options)
-    place = found.columns.index(text)
+    """docs without the spans of benchmark windows; a document of which no word is left goes, one that had none stays. All columns stay, also those named like find's results."""
+    names = list(docs.columns)
+    own = {c: spare([*names, *RESULTS.names], f"own_{c}") if c in RESULTS.names else c for c in names}
+    keep = [own[c] for c in names]
+    found = find(docs.select(*(F.col(f"`{c}`").alias(own[c]) for c in names)), benchmark, own[text], **options)
+    place = found.columns.index(own[text])
     at = {c: found.columns.index(c) for c in keep}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +342,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options)
                 stay.append(gone == 0 or gone < count[k])
                 if gone and stay[-1]:
                     texts[k] = cut_out(texts[k], [(s["start"], s["end"]) for s in found_here])
-            columns = [pa.array(texts, pa.string()) if c == text else b.column(at[c]) for c in keep]
-            yield pa.RecordBatch.from_arrays(columns, names=keep).filter(pa.array(stay, pa.bool_()))
+            columns = [pa.array(texts, pa.string()) if at[c] == place else b.column(at[c]) for c in keep]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay, pa.bool_()))
 
-    return found.mapInArrow(run, T.StructType([docs.schema[c] for c in keep]))
+    return found.mapInArrow(run, T.StructType([docs.schema[c] for c in names]))

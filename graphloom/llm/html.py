@@ -39,6 +39,7 @@ NAMES = ("ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrum
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
+HAVING = re.compile(r"(?:has|have|no|not|with|without|is|show|hide|hidden|above|below|after|before|hasnt|wp-has)[-_]")
 SPACE = re.compile(r"\s+")
 UNQUOTED = re.compile(r"=\s*[^\s\"'=]+/\Z")
 
@@ -96,6 +97,15 @@ def trained() -> Tree:
     return Tree(table[:, :FEATURES], table[:, FEATURES].astype(int))
 
 
+def named_aside(attributes: str, body: bool) -> bool:
+    """Whether a class, id or role is a name of something aside, or for other elements than those of the article begins or ends with one. What an element is said to have or lack, as in has-sidebar, is not what it is."""
+    for found in ATTRIBUTE.findall(attributes):
+        for token in "".join(found).lower().split():
+            if token in NAMES_SET or not body and not HAVING.match(token) and any(w in NAMES_SET for w in NAME.findall(token)):
+                return True
+    return False
+
+
 def self_closed(attributes: str) -> bool:
     """Whether a tag ends in a slash that is not of an unquoted value."""
     return attributes.endswith("/") and not UNQUOTED.search(attributes)
@@ -207,7 +217,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             else:
                 if name in BODY:
                     inside = 1
-                if found[3] and any(w in NAMES_SET for a in ATTRIBUTE.findall(found[3]) for w in NAME.findall("".join(a).lower())) and name not in ("html", "body"):
+                if found[3] and name not in ("html", "body") and named_aside(found[3], name in BODY):
                     inside = 2
         stack.append((name, inside))
         place = inside

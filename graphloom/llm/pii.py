@@ -9,6 +9,9 @@ has to be rare elsewhere: of all its occurrences in the corpus most must be foll
 by a trusted instance, so that no common words become a pattern. Instances of high-confidence
 patterns, of a form that fits the kind, are spans too. Base spans always stay.
 
+A pattern is what the 48 characters before a place end with: two words or signs. Only that much context is a
+feature; the strings themselves may be of any length.
+
 Patterns to be counted are split into blocks of bounded size, each searched in a pass
 of its own; nothing that grows with the corpus is collected or broadcast whole.
 
@@ -18,6 +21,7 @@ exclusive; texts that are equal have equal spans; extra columns are not carried.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import give_back, stored
+from graphloom.llm.common import give_back, spare, stored
 
 # The kinds, in the order that breaks ties of place.
 KINDS = ("email", "ip", "card", "phone")
@@ -114,6 +118,12 @@ def pattern_before(text: str, start: int) -> str | None:
     return found if any(c.isalpha() for c in found) and len(found) >= 4 else None
 
 
+def instance(text: str) -> str:
+    """What stands for a string in the graph: itself in lower case, a long one its digest."""
+    low = text.lower()
+    return low if len(low) <= 64 else hashlib.md5(low.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def fits(kind: int, text: str) -> bool:
     """Whether an instance could be of the kind, by its form alone."""
     digits = sum("0" <= c <= "9" for c in text)
@@ -138,14 +148,14 @@ def scan(docs: DataFrame, text: str) -> DataFrame:
         out = []
         for start, kind, end in known:
             if p := pattern_before(x, start):
-                out.append({"pattern": p, "instance": x[start:end].lower()[:200], "kind": kind, "fits": 0, "start": start, "end": end})
+                out.append({"pattern": p, "instance": instance(x[start:end]), "kind": kind, "fits": 0, "start": start, "end": end})
         for start, end in candidates(x):
             found = x[start:end]
-            if len(found) > 200 or any(s < end and start < e for s, _, e in known):
+            if any(s < end and start < e for s, _, e in known):
                 continue
             forms = sum(1 << k for k in range(4) if fits(k, found))
             if forms and (p := pattern_before(x, start)):
-                out.append({"pattern": p, "instance": found.lower(), "kind": None, "fits": forms, "start": start, "end": end})
+                out.append({"pattern": p, "instance": instance(found), "kind": None, "fits": forms, "start": start, "end": end})
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +256,9 @@ def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     more = more.groupBy("key").agg(F.collect_set(F.struct("start", F.col("kind").cast("int").alias("kind"), "end")).alias("pii_more"))
     keep = list(docs.columns)
     place = keep.index(text)
-    keyed = docs.withColumn("pii_key", F.md5(F.coalesce(F.col(text), F.lit("")))).join(more.withColumnRenamed("key", "pii_key"), "pii_key", "left").select(*keep, "pii_more")
+    key, extra = spare(keep, "pii_key"), spare(keep, "pii_more")
+    more = more.select(F.col("key").alias(key), F.col("pii_more").alias(extra))
+    keyed = docs.withColumn(key, F.md5(F.coalesce(F.col(text), F.lit("")))).join(more, key, "left").select(*(F.col(f"`{c}`") for c in keep), extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

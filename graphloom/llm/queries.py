@@ -51,7 +51,8 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     given = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "\\### Assistant: </turn> ok"
-    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
+    row = lambda turn, role: F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text"))
+    added = spark.range(1).select(F.explode(F.array(row(0, "user"), row(1, "assistant"))).alias("r")).select("r.*")
     formatted = chat.format_trees(chat.from_turns(given.unionByName(added)), keep=1)
     turns, loss = chat.read_back(F.col("formatted")), chat.loss_text(F.col("formatted"), F.col("mask"))
     out = formatted.select(F.when(F.col("tree") != "null", F.substring("tree", 2, 30).cast("long")).alias("conv_id"), turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))

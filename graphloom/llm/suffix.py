@@ -9,6 +9,8 @@ are thinned twice, without loss, before any is moved:
    window and goes; this needs only hashes.
 2. The stretch of text that the windows of an anchor cover is hashed whole. Where it
    occurs twice, all its windows are repeated; of equal stretches one suffix is sorted.
+   Stretches count as equal if both their hash and that of their gram are, 128 bits in all;
+   their bytes are not compared again.
 
 What is left is sorted: each map task sorts its suffixes and front-codes them (the
 length of the prefix shared with the one before, and the rest), runs are dealt by
@@ -23,7 +25,8 @@ of the smaller cluster looks up its neighbours by preceding text in the larger o
 and so no group of equal grams costs its square.
 
 Defined results: matches never cross texts; null and empty texts have no bytes; strings
-are judged on the input; repeated rows count as occurrences; texts shorter than ``length``
+are judged on the input; a text takes some 80 bytes of memory for each of its bytes while it is
+cut into anchors, so one of 20 MB takes 1.6 GB of a worker; repeated rows count as occurrences; texts shorter than ``length``
 lose nothing. Extra columns are not carried.
 """
 
