@@ -299,13 +299,14 @@ class Classes:
         self.roots = stored(moved.unionByName(then.join(roots.select("node"), "node", "left_anti")), "roots")
 
 
-def met(now: DataFrame, fits: Column, few: DataFrame | None = None, turn: int = 0) -> DataFrame:
-    """Pairs of members of one bucket and different roots: of all with few, by default one member of each bucket, another one each turn."""
-    own = ["key", "root", *(c for c in now.columns if c not in ("bucket", "key", "root", "table"))]
+def met(now: DataFrame, fits: Column, few: DataFrame | None = None, seeds: tuple[int, ...] = (0,)) -> DataFrame:
+    """Pairs of members of one bucket and different roots: of all with few, by default one member of each bucket for each seed. Which one is chosen anew in each bucket."""
+    own = ["key", "root", *(c for c in now.columns if c not in ("bucket", "key", "root"))]
     if few is None:
-        few = now.groupBy("bucket").agg(F.min_by(F.struct(*own), F.xxhash64("key", F.lit(turn))).alias("o")).select("bucket", *(F.col(f"o.{c}").alias(f"{c}_2") for c in own))
-    else:
-        few = few.select("bucket", *(F.col(c).alias(f"{c}_2") for c in own))
+        one = lambda seed: F.min_by(F.struct(*own), F.xxhash64("bucket", "key", F.lit(seed)))
+        chosen = now.groupBy("bucket").agg(F.array(*map(one, seeds)).alias("o"))
+        few = chosen.select("bucket", F.explode(F.array_distinct("o")).alias("o")).select("bucket", "o.*")
+    few = few.select("bucket", *(F.col(c).alias(f"{c}_2") for c in own))
     both = now.join(few, "bucket").where((F.col("root") != F.col("root_2")) & fits)
     return both.select(F.least("key", "key_2").alias("a"), F.greatest("key", "key_2").alias("b"))
 
@@ -362,8 +363,8 @@ def _grouped(docs: DataFrame, text: str, least: float, tables: int, take: int) -
     sizes = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1
     near = sizes("n", "n_2") | sizes("once", "once_2")
     left = classes.mixed(members)
-    for turn in range(2):
-        classes.link(met(left, near, turn=turn))
+    for seeds in ((0,), (1, 2)):
+        classes.link(met(left, near, seeds=seeds))
         left = classes.mixed(left.drop("root"))
     if not left.isEmpty():
         # what is left can be similar only where rare k-mers are shared too
@@ -372,8 +373,8 @@ def _grouped(docs: DataFrame, text: str, least: float, tables: int, take: int) -
         rare = stored(rare.join(shared, "bucket", "left_semi"), "postings")
         enough = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) >= F.lit(least / (1 + least)) * (F.col("n") + F.col("n_2")) - 1e-6
         now = classes.mixed(rare)
-        for turn in range(2, 4):
-            classes.link(met(now, enough, turn=turn))
+        for seeds in ((3, 4, 5), (6, 7, 8)):
+            classes.link(met(now, enough, seeds=seeds))
             now = classes.mixed(now.drop("root"))
         # every pair left: all members outside a bucket's largest class, against the whole bucket
         main = now.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
