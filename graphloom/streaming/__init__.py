@@ -1 +1 @@
-"""Part of graphloom."""
+"""Edges as they come."""

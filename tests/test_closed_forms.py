@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
+from graphloom.operators import components as C
 from graphloom.operators import diagnostics as D
 from graphloom.operators import graphs as G
 
@@ -18,8 +19,7 @@ def test_bfs_is_capped(spark):
 
 
 def test_cycle_is_one_component(spark):
-    found = {r.id: r.component for r in D.mutual_reach(G.reach(edges(spark, [("0", "1"), ("1", "2"), ("2", "0"), ("3", "0")]), 4).select("source", "target")).collect()}
-    # a node meets itself only by way of the others
+    found = {r.id: r.component for r in C.strong(edges(spark, [("0", "1"), ("1", "2"), ("2", "0"), ("3", "0")])).collect()}
     assert found == {"0": "0", "1": "0", "2": "0"}
 
 
@@ -53,9 +53,9 @@ def test_tokens(spark):
 
 
 def test_rwpe_of_ring_and_star(spark):
-    ring = {r.id: r.p2 for r in G.rwpe2(edges(spark, [(str(i), str((i + 1) % 6)) for i in range(6)])).collect()}
+    ring = {r.id: r.p for r in G.return_probabilities(edges(spark, [(str(i), str((i + 1) % 6)) for i in range(6)]), 2).where("steps = 2").collect()}
     assert set(ring.values()) == {0.5}
-    star = {r.id: r.p2 for r in G.rwpe2(edges(spark, [("h", c) for c in "abcd"])).collect()}
+    star = {r.id: r.p for r in G.return_probabilities(edges(spark, [("h", c) for c in "abcd"]), 2).where("steps = 2").collect()}
     assert star["h"] == 1.0 and star["a"] == 0.25
 
 
