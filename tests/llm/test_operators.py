@@ -70,12 +70,12 @@ def test_pii_discovers_by_context(spark, awkward, nothing):
     phones = [f"hello friend, telephone number +1 (20{i}) 555-10{i}{i} now" for i in range(8)]
     hidden = ["hello friend, telephone number 0201 555 9999 now", "the item 0201 555 9999 is a part"]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(phones + hidden)], "doc_id long, text string")
-    got = {r.doc_id: r.spans for r in pii.find(rows, trust=0.6).collect()}
+    got = {r.doc_id: r.spans for r in pii.find(rows).collect()}
     found = hidden[0].index("0201")
     assert [(s.start, s.kind) for s in got[8]] == [(found, 3)] and got[9] == []
     assert all(len(got[i]) == 1 for i in range(8))
     assert pii.find(awkward).count() == awkward.count() and pii.find(nothing).count() == 0
-    out = {r.doc_id: r.text for r in pii.redact(rows, trust=0.6).collect()}
+    out = {r.doc_id: r.text for r in pii.redact(rows).collect()}
     assert out[8] == "hello friend, telephone number [phone] now" and out[9] == hidden[1]
 
 
