@@ -3,7 +3,8 @@
 A page is cut at block tags into flat blocks of text. A block's features are its word
 count, its link density (the share of its words inside links), the same of the blocks
 before and after it, and the kind of place it stands in. A decision tree, grown by
-Gini impurity on the small labelled table below, says which blocks are the article.
+Gini impurity on the small labelled table below, says which blocks are the article. Where a page
+marks its article and what is beside it, the kind of place decides; words and links decide elsewhere.
 
 Scripts, styles and other content that is never shown are no text. What is kept has
 its character references decoded and white space inside a block made one space, is

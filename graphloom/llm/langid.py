@@ -11,7 +11,7 @@ Phrases end at word borders, so a word's phrases depend on the word alone and ar
 counted once for each distinct word that a worker meets; texts are parsed whole.
 
 Training is bounded: per language at most ``train_docs`` labelled documents, chosen
-by a hash of their text, and at most ``train_chars`` characters of distinct words,
+by a hash of their text, of each ``doc_chars`` characters, and at most ``train_chars`` characters of distinct words,
 the most frequent first. Everything else covers all rows.
 
 Defined results: a null text, and a text without a letter, is ``und`` with score 0;

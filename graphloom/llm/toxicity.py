@@ -1,6 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. Both
+Two zstandard dictionaries are made, one of toxic and one of ordinary text, as raw content and
+not by the library's trainer, whose segments of running text do not tell the two apart (see
+README for figures). Both
 hold the same ordinary words, so that ordinary text compresses alike; the toxic one
 also holds the beginnings of words, and whole words, that mark toxic text. A window
 that compresses to fewer bytes with the toxic dictionary leans toxic. A logistic
@@ -8,7 +10,7 @@ curve over a document's widest margins is the calibrated threshold.
 
 Only text is an input of a score; labels only choose which sample a text is in.
 Training is bounded: ``train_docs`` different texts for each label, of each
-``doc_chars`` characters.
+``doc_chars`` characters: a bound on the sample, which longer documents reach with their beginnings.
 Scoring takes every text whole.
 
 Defined results: null and empty texts have no windows and get the score of a text
@@ -94,7 +96,7 @@ def chance(n: int, of: int, share: float) -> float:
 
 
 def choose_marks(toxic: list[str], ordinary: list[str], least: float = 0.02, lift: float = 8.0, wrong: float = 0.05) -> list[str]:
-    """What the toxic dictionary is trained to hold: strings so many times rarer in ordinary texts than in toxic ones, if that is not by chance.
+    """What the toxic dictionary holds: strings so many times rarer in ordinary texts than in toxic ones, if that is not by chance.
 
     Chance is ruled out for strings in at least the share least of toxic texts beyond 200, in eight at least unless there are few;
     rarer ones have to pass a test whose expected share of wrong choices is bounded (Benjamini and Hochberg).
