@@ -121,7 +121,7 @@ def _(spark, d):
     return V.layer_conformance(v, links(v), {(0, 1): 1.0, (1, 0): -1.0}).select(S.rounded(F.col("conformance")).alias("conformance"))
 
 
-@query("topo_health_score", None, f"{SQL}, {CENTROIDS}, {RECON}, {FLOW}, k AS (SELECT least(1.0, greatest(0.0, 1 - median(err))) AS c FROM r), l AS (SELECT 1 - sum(greatest(ds, 0)) / sum(abs(ds)) AS f FROM z) SELECT {rnd('CASE WHEN c <= 0 OR f <= 0 THEN 0.0 ELSE power(c, 0.7) * power(f, 0.3) END')} AS score FROM k, l")
+@query("health_score", None, f"{SQL}, {CENTROIDS}, {RECON}, {FLOW}, k AS (SELECT least(1.0, greatest(0.0, 1 - median(err))) AS c FROM r), l AS (SELECT 1 - sum(greatest(ds, 0)) / sum(abs(ds)) AS f FROM z) SELECT {rnd('CASE WHEN c <= 0 OR f <= 0 THEN 0.0 ELSE power(c, 0.7) * power(f, 0.3) END')} AS score FROM k, l")
 def _(spark, d):
     v = vectors(spark, d)
     c = V.health_coherence(V.reconstruction_error(v, V.centroid_vectors(v)))
