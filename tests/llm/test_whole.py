@@ -73,3 +73,12 @@ def test_toxic_words_of_few_texts_are_learnt():
     marks = toxicity.choose_marks(toxic, [text() for _ in range(2000)])
     assert all(any(f" {w} ".startswith(m) for m in marks) for w in rare)
     assert sum(not any(f" {w} ".startswith(m) for w in rare) for m in marks) <= 5
+
+
+def test_html_of_what_an_element_has():
+    assert html.extract("<main class='has-sidebar'><p>one two</p></main>") == "one two"
+    assert html.extract("<article class='post no-comments'><p>one two</p></article>") == "one two"
+    assert html.extract("<article><p>one</p><div class='cookie-notice'>x</div><article class=comment><p>y</p></article><p>two</p></article>") == "one two"
+    # no markup of an article: words and links decide
+    text = " ".join(["word"] * 60)
+    assert html.extract(f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div>{text}</div><div>{text}</div><div><a href=c>Next</a></div>") == f"{text} {text}"
