@@ -178,7 +178,7 @@ def cross_package_coupling(nodes: DataFrame, edges: DataFrame, assign: DataFrame
 
 
 def near_disconnects(values: DataFrame, edges: DataFrame, null: DataFrame) -> DataFrame:
-    """values: module, size, value (its second smallest eigenvalue), id and side (1 or -1), a row for each member; null: value of random parts.
+    """values: module, size, value (its second smallest eigenvalue), id and side (1 or -1), a row for each member; null: value of random parts, of which half may be zero.
 
     Modules that hang together by less than the 5th percentile of the null ones, with the edges that a cut by sides would take.
     """
@@ -189,5 +189,5 @@ def near_disconnects(values: DataFrame, edges: DataFrame, null: DataFrame) -> Da
     inside = edges.where("kind <> 'defines' AND source <> target").join(a, "source").join(b, "target").where("m = n").groupBy(F.col("m").alias("module")).agg(F.count("*").alias("inside"), F.sum((F.col("x") != F.col("y")).cast("long")).alias("crossing"))
     cut = F.floor((F.col("crossing") + 1) / 2)
     expected = 2.0 * F.col("inside") * F.col("s1") * F.col("s2") / (F.col("size") * (F.col("size") - 1))
-    severity = 0.4 * clamp(1 - F.col("value") / F.col("median")) + 0.3 * clamp(1 - cut / F.greatest(expected, F.lit(1.0))) + 0.3 * F.least("s1", "s2") / F.greatest("s1", "s2")
+    severity = 0.4 * clamp(1 - F.col("value") / F.greatest("median", F.lit(2.220446049250313e-16))) + 0.3 * clamp(1 - cut / F.greatest(expected, F.lit(1.0))) + 0.3 * F.least("s1", "s2") / F.greatest("s1", "s2")
     return low.join(inside, "module").select("module", "size", "value", cut.alias("cut"), clamp(severity).alias("severity"), F.lit(0.8).alias("confidence"))

@@ -161,3 +161,15 @@ def test_adjusted_information(spark):
     r = random.Random(2)
     other = spark.createDataFrame([(k, r.randrange(4)) for k in range(40)], "id long, b int")
     assert abs(V.adjusted_information(same, other).first().ami) < 0.2
+
+
+def test_near_disconnects_where_random_parts_fall_apart(spark, edges):
+    # half of the random parts have a value of zero: no division by it, and a module at zero is not below zero
+    values = spark.createDataFrame([("m", 6, 0.0, x, 1 if x in "abc" else -1) for x in "abcdef"], "module string, size long, value double, id string, side int")
+    own = edges([("a", "b"), ("b", "c"), ("d", "e"), ("e", "f"), ("c", "d")])
+    null = spark.createDataFrame([(x,) for x in (0.0, 0.0, 0.0, 0.0, 0.5)], "value double")
+    assert I.near_disconnects(values, own, null).collect() == []
+    above = spark.createDataFrame([(x,) for x in (0.1, 0.1, 0.1, 0.1, 0.5)], "value double")
+    assert [(r.module, r.cut) for r in I.near_disconnects(values, own, above).collect()] == [("m", 1)]
+    low = spark.createDataFrame([(x,) for x in (0.0, 0.0, 0.0)], "value double")
+    assert [r.severity for r in I.near_disconnects(values, own, low).collect()] == [pytest.approx(0.4 + 0.3 * (1 - 1 / 3.0) + 0.3)]
