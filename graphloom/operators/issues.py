@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,7 +129,7 @@ def circular_dependencies(edges: DataFrame, components: DataFrame, assign: DataF
     p90 = nearest_rank(own.select("component", "size").distinct(), "size", 0.9)
     ends = edges.where("kind <> 'defines' AND source <> target").join(own.select(F.col("id").alias("source"), "component"), "source").join(own.select(F.col("id").alias("target"), F.col("component").alias("other")), "target").where("component = other")
     kinds = ends.groupBy("component").agg(F.min((F.col("kind") == "inherits").cast("int")).alias("inherited"))
-    depth = eccentricities(ends.select("component", "source", "target").distinct()).groupBy("component").agg(F.max("d").alias("longest"))
+    depth = longest_paths(ends.select("component", "source", "target").distinct())
     all_ = facts.join(kinds, "component").join(depth, "component").join(p90).where("tests <= 0.8 AND inherited = 0")
     s = F.col("size")
     severity = 0.4 * clamp(s / 20) + 0.3 * clamp(F.col("modules") / 5) + 0.3 * clamp(F.col("longest") / 10)
@@ -136,23 +137,65 @@ def circular_dependencies(edges: DataFrame, components: DataFrame, assign: DataF
     return all_.select("component", "size", "modules", "longest", clamp(severity).alias("severity"), F.lit(0.9).alias("confidence"))
 
 
-def eccentricities(links: DataFrame) -> DataFrame:
-    """links: component, source, target. For each node its greatest distance within its component; a component is one task's, by breadth-first search from each node."""
+def farther(starts: np.ndarray, ends: np.ndarray, start: int, narrow: bool) -> np.ndarray:
+    """Each node's number of hops from start, along links as offsets and ends; narrow: levels of few nodes, which are followed one by one."""
+    far = np.full(len(starts) - 1, -1, np.int32)
+    far[start] = 0
+    if narrow:
+        hops, queue, offsets, follow = far.tolist(), [start], starts.tolist(), ends.tolist()
+        for x in queue:
+            for t in follow[offsets[x] : offsets[x + 1]]:
+                if hops[t] < 0:
+                    hops[t] = hops[x] + 1
+                    queue.append(t)
+        return np.array(hops, np.int32)
+    front, depth = np.array([start]), 0
+    while front.size:
+        many = starts[front + 1] - starts[front]
+        heads = ends[np.repeat(starts[front] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        depth += 1
+        front = np.unique(heads[far[heads] < 0])
+        far[front] = depth
+    return far
+
+
+def diameter(n: int, source: np.ndarray, target: np.ndarray) -> int:
+    """The greatest distance between two nodes of a strong component.
+
+    A node's farthest is no farther than its way to a pivot and the pivot's farthest; so too backwards. Pivots are by turns the
+    node that could yet have the greatest distance and the most central one, until no node's, forwards or backwards, could exceed what was found.
+    """
+    ways = []
+    for a, b in ((source, target), (target, source)):
+        order = np.argsort(a, kind="stable")
+        ways.append((np.searchsorted(a[order], np.arange(n + 1)), b[order]))
+    found, pivot = 0, int((np.bincount(source, minlength=n) * np.bincount(target, minlength=n)).argmax())
+    # of each node, forwards and backwards: how far its farthest can be, and is at least
+    most, least, narrow, turn = np.full((2, n), n - 1), np.zeros((2, n), int), False, 0
+    while True:
+        out, back = (farther(*way, pivot, narrow) for way in ways)
+        narrow = narrow or n < 16 * int(out.max())
+        found = max(found, int(out.max()), int(back.max()))
+        most = np.minimum(most, [back + out.max(), out + back.max()])
+        least = np.maximum(least, [back, out])
+        most[:, pivot] = out.max(), back.max()
+        least[:, pivot] = n  # not again
+        left = (most > found).sum(1)
+        if not left.all():
+            return found
+        side, turn = left.argmin(), turn + 1
+        pivot = int(most[side].argmax() if turn % 2 else least[side].argmin())
+
+
+def longest_paths(links: DataFrame) -> DataFrame:
+    """links: component, source, target, each once. component and longest, the greatest distance within a strong component; a component is one task's, which holds its links as numbers."""
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
-        follow: dict[str, list[str]] = {}
-        for a, b in zip(part["source"], part["target"], strict=True):
-            follow.setdefault(a, []).append(b)
-        far = []
-        for start in follow:
-            seen, front, depth = {start}, [start], 0
-            while front := [t for t in {t for x in front for t in follow.get(x, ())} if t not in seen]:
-                seen.update(front)
-                depth += 1
-            far.append(depth)
-        return pd.DataFrame({"component": part["component"].iloc[0], "id": list(follow), "d": far})
-
-    return links.groupBy("component").applyInPandas(search, "component string, id string, d int")
+        names = pd.Index(part["source"].unique())
+        longest = diameter(len(names), names.get_indexer(part["source"]), names.get_indexer(part["target"]))
+        return pd.DataFrame({"component": [part["component"].iloc[0]], "longest": [longest]})
+
+    return links.groupBy("component").applyInPandas(search, "component string, longest int")
 
 
 def cross_package_coupling(nodes: DataFrame, edges: DataFrame, assign: DataFrame, coherence: DataFrame | None = None, null_mean: float | None = None, null_sd: float | None = None, silhouette: float = 0.0) -> DataFrame:

@@ -70,13 +70,9 @@ FAR = "inside AS (SELECT DISTINCT e.source, e.target, a.component AS c, (SELECT
 
 @query("scc_longest_path", "flow", more(f"{STRONG}, {FAR}", "SELECT component, max(d) AS longest FROM far GROUP BY component"))
 def _(nodes, edges):
-    return longest(edges).groupBy("component").agg(F.max("d").alias("longest"))
-
-
-def longest(edges: DataFrame) -> DataFrame:
     own = C.strong(edges.where("kind <> 'defines'"))
     ends = edges.where("kind <> 'defines' AND source <> target").join(own.select(F.col("id").alias("source"), "component"), "source").join(own.select(F.col("id").alias("target"), F.col("component").alias("other")), "target").where("component = other")
-    return I.eccentricities(ends.select("component", "source", "target").distinct())
+    return I.longest_paths(ends.select("component", "source", "target").distinct())
 
 
 CIRCLE = f"sz AS (SELECT component, count(*) AS size, count(DISTINCT module) AS modules, count(DISTINCT split_part(scc.id, '.', 1)) AS packages, avg(CASE WHEN regexp_matches(lower(scc.id), 'test|spec') THEN 1 ELSE 0 END) AS tests FROM scc LEFT JOIN assign USING (id) GROUP BY component), p90 AS (SELECT s[CAST(least(floor(len(s) * 0.9), len(s) - 1) AS INTEGER) + 1] AS p FROM (SELECT list_sort(list(size)) AS s FROM sz) x)"

@@ -173,3 +173,31 @@ def test_near_disconnects_where_random_parts_fall_apart(spark, edges):
     assert [(r.module, r.cut) for r in I.near_disconnects(values, own, above).collect()] == [("m", 1)]
     low = spark.createDataFrame([(x,) for x in (0.0, 0.0, 0.0)], "value double")
     assert [r.severity for r in I.near_disconnects(values, own, low).collect()] == [pytest.approx(0.4 + 0.3 * (1 - 1 / 3.0) + 0.3)]
+
+
+def test_longest_paths_are_those_of_all_pairs(spark):
+    draw = random.Random(3)
+    for n, more in ((2, 0), (7, 3), (40, 12), (90, 60), (60, 0)):
+        pairs = {(i, (i + 1) % n) for i in range(n)} | {(a, b) for a, b in ((draw.randrange(n), draw.randrange(n)) for _ in range(more)) if a != b}
+        far = 0
+        for start in range(n):
+            hops, queue = {start: 0}, [start]
+            for x in queue:
+                for a, b in sorted(pairs):
+                    if a == x and b not in hops:
+                        hops[b] = hops[x] + 1
+                        queue.append(b)
+            far = max(far, *hops.values())
+        source, target = np.array(sorted(pairs)).T
+        assert I.diameter(n, source, target) == far
+    two = spark.createDataFrame([("a", "a", "b"), ("a", "b", "a"), ("x", "x", "y"), ("x", "y", "z"), ("x", "z", "x")], "component string, source string, target string")
+    assert {(r.component, r.longest) for r in I.longest_paths(two).collect()} == {("a", 1), ("x", 2)}
+
+
+def test_longest_path_takes_few_searches(monkeypatch):
+    # a component of some ten thousand nodes: a search from each would be far more
+    r, n = np.random.default_rng(1), 12_000
+    source, target = np.concatenate([np.arange(n), r.integers(0, n, n // 2)]), np.concatenate([(np.arange(n) + 1) % n, r.integers(0, n, n // 2)])
+    own, asked = I.farther, []
+    monkeypatch.setattr(I, "farther", lambda *a: asked.append(1) or own(*a))
+    assert I.diameter(n, source, target) > 0 and len(asked) < 1000
