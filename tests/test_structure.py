@@ -201,3 +201,25 @@ def test_longest_path_takes_few_searches(monkeypatch):
     own, asked = I.farther, []
     monkeypatch.setattr(I, "farther", lambda *a: asked.append(1) or own(*a))
     assert I.diameter(n, source, target) > 0 and len(asked) < 1000
+
+
+def test_return_probabilities_of_parts_and_chunks(spark, edges):
+    draw = random.Random(9)
+    pairs = [(f"a{draw.randrange(40)}", f"a{draw.randrange(40)}") for _ in range(90)] + [("b1", "b2"), ("b2", "b3"), ("b1", "b2")] + [(f"c{x}", f"c{(x + 1) % 5}") for x in range(5)]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    ids = sorted({x for p in pairs for x in p})
+    m = np.zeros((len(ids), len(ids)))
+    for a, b in pairs:
+        m[ids.index(a), ids.index(b)] += 1
+        m[ids.index(b), ids.index(a)] += 1
+    w = m / m.sum(1, keepdims=True)
+    want = {(x, t): np.linalg.matrix_power(w, t)[i, i] for i, x in enumerate(ids) for t in range(1, 17)}
+    for chunk in (4_000_000, 50):  # the same from one chunk of links as from several
+        got = {(r.id, r.steps): r.p for r in G.return_probabilities(edges(pairs), 16, chunk).collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+
+
+def test_rwpe_reads_all_lines():
+    from graphloom.plans import registry
+
+    assert "l_quantity" not in registry.oracle_sql()["rwpe"]
