@@ -223,3 +223,48 @@ def test_rwpe_reads_all_lines():
     from graphloom.plans import registry
 
     assert "l_quantity" not in registry.oracle_sql()["rwpe"]
+
+
+def test_clusters_are_held_in_pieces():
+    """The same as with all distances at once, without an array of them."""
+    import tracemalloc
+
+    data = np.random.default_rng(4).random((20_000, 16))
+    tracemalloc.start()
+    labels, centers = K.kmeans(data, 8, 42, steps=3)
+    s = K.silhouette(data, labels, centers)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 * data.nbytes  # all differences are 8 times the data, and twice that in the making
+    far = np.sqrt(((data[:, None, :] - centers[None, :, :]) ** 2).sum(2))
+    own = far[np.arange(len(data)), labels]
+    far[np.arange(len(data)), labels] = np.inf
+    other = far.min(1)
+    assert s == pytest.approx(float(((other - own) / np.maximum(own, other)).mean()), abs=1e-12)
+    assert K.centers_of(data, labels, 9)[:8] == pytest.approx(np.stack([data[labels == c].mean(0) for c in range(8)]), abs=1e-12)
+    assert not K.centers_of(data, labels, 9)[8].any()
+
+
+def test_vectors_of_tasks_are_in_the_order_of_ids():
+    import pyarrow as pa
+
+    parts = [pa.table({"id": pa.array(ids, pa.int64()), "vector": pa.array([[float(x), 0.5] for x in ids], pa.list_(pa.float64()))}) for ids in ([5, 1], [], [3])]
+    ids, data = V.as_matrix(pa.concat_tables(parts))
+    assert ids.tolist() == [1, 3, 5] and data.tolist() == [[1, 0.5], [3, 0.5], [5, 0.5]]
+
+
+def test_shadow_dependencies_of_tiles(spark):
+    r = np.random.default_rng(2)
+    data = r.standard_normal((60, 3))
+    vectors = spark.createDataFrame([(i, i % 3, x.tolist()) for i, x in enumerate(data)], "id long, module long, vector array<double>")
+    pairs = {(i, (i * 7 + 3) % 60) for i in range(60)} | {(0, 1), (1, 2), (2, 4)}
+    links = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "source long, target long")
+    near = {i: {b for a, b in pairs | {(b, a) for a, b in pairs} if a == i and a != b} for i in range(60)}
+    u = data / np.linalg.norm(data, axis=1, keepdims=True)
+    want = set()
+    for a in range(60):
+        two = {y for x in near[a] for y in near[x]}
+        reached = near[a] | two | {z for y in two for z in near[y]}
+        want |= {(a, b) for b in range(a + 1, 60) if a % 3 != b % 3 and u[a] @ u[b] > 0.8 and b not in reached}
+    for tile in (2048, 3):
+        assert {(x.a, x.b) for x in V.shadow_dependencies(vectors, links, 0.8, 2, tile).collect()} == want
