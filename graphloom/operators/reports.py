@@ -171,12 +171,17 @@ def relative(module: Column, level: Column, name: Column, most: int) -> Column:
 
 
 def import_validated(calls: DataFrame, imports: DataFrame, module_of: Callable[[Column], Column]) -> DataFrame:
-    """Calls whose module imports a dotted prefix of what is called. Prefixes are exploded and joined by equality."""
-    parts = F.split("target", r"\.")
-    prefixes = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ".")))
-    wanted = calls.select("source", "target").distinct().withColumn("module", module_of(F.col("source"))).withColumn("prefix", F.explode(prefixes))
-    fine = wanted.join(imports.select(F.col("source").alias("module"), F.col("target").alias("prefix")).distinct(), ["module", "prefix"]).select("source", "target").distinct()
-    return calls.join(fine, ["source", "target"], "left_semi")
+    """Calls whose module imports a dotted prefix of what is called.
+
+    That is a matter of the caller's module and of what the called name stands in: only such pairs, few beside calls, are
+    exploded to prefixes and joined, and travel to the calls.
+    """
+    module, parent = module_of(F.col("source")), F.regexp_extract("target", r"^(.*)\.[^.]*$", 1)
+    parts = F.split("parent", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
+    wanted = calls.where("instr(target, '.') > 0").select(module.alias("module"), parent.alias("parent")).distinct().withColumn("prefix", F.explode(prefixes))
+    fine = wanted.join(imports.select(F.col("source").alias("module"), F.col("target").alias("prefix")).distinct(), ["module", "prefix"]).select(F.col("module").alias("from_module"), F.col("parent").alias("to_parent")).distinct()
+    return calls.join(F.broadcast(fine), (module == F.col("from_module")) & (parent == F.col("to_parent")) & (F.instr("target", ".") > 0), "left_semi")
 
 
 def analysis_row(edges: DataFrame) -> DataFrame:
