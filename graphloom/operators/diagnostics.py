@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import clamp, direction_significant, package_of, severity_label
-from graphloom.operators.graphs import degrees, interface_width, percentile_ranks
+from graphloom.operators.graphs import degrees, interface_width, percentile_ranks, portions
 from graphloom.operators.tables import stored
 
 
@@ -74,12 +74,14 @@ def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
 def expected_diversity(edges: DataFrame, assign: DataFrame) -> DataFrame:
     """For each called node: callers' modules, and how many its in-degree would meet by chance, K - sum (1 - d_m / E)^d."""
     a = assign.select(F.col("id").alias("source"), "module")
-    calls = edges.where("kind = 'calls'").join(a, "source")
-    modules = calls.groupBy("module").agg(F.count("*").alias("out"))
+    calls = edges.where("kind = 'calls'").select("source", "target").repartition(portions(assign), "source").join(a, "source")
+    # a row for each target and caller's module is all that the rest needs
+    calls = stored(calls.groupBy("target", "module").agg(F.count("*").alias("n")), "callers")
+    modules = calls.groupBy("module").agg(F.sum("n").alias("out"))
     total = modules.agg(F.sum("out").alias("e"), F.count("*").alias("k"))
     shares = modules.join(total).select("k", (1 - F.col("out") / F.col("e")).alias("miss"))
     # the chance depends on the in-degree alone: one row for each
-    seen = calls.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("d"), F.count_distinct("module").alias("observed"))
+    seen = calls.groupBy(F.col("target").alias("id")).agg(F.sum("n").alias("d"), F.count("module").alias("observed"))
     chance = seen.select("d").distinct().join(shares).groupBy("d").agg((F.max("k") - F.sum(F.pow("miss", "d"))).alias("expected"))
     return seen.join(chance, "d").select("id", "observed", "expected")
 

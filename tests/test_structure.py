@@ -268,3 +268,28 @@ def test_shadow_dependencies_of_tiles(spark):
         want |= {(a, b) for b in range(a + 1, 60) if a % 3 != b % 3 and u[a] @ u[b] > 0.8 and b not in reached}
     for tile in (2048, 3):
         assert {(x.a, x.b) for x in V.shadow_dependencies(vectors, links, 0.8, 2, tile).collect()} == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_of_interfaces_become_more_as_nodes_do(spark, edges):
+    own = edges([("a.x", "b.y"), ("a.x", "b.z"), ("a.w", "b.y"), ("b.y", "a.x")])
+    for many in (10, 40_000):
+        assign = spark.range(many).selectExpr("concat('n', id) AS id", "'m' AS module").unionByName(spark.createDataFrame([(f"{m}.{x}", m) for m, x in ("ax", "aw", "by", "bz")], "id string, module string"))
+        for found in (G.interface_width(own, assign), D.expected_diversity(own, assign)):
+            rows = {tuple(r) for r in found.collect()}
+        assert rows == {("b.y", 1, 2 - 0.25**2 - 0.75**2), ("b.z", 1, 1.0), ("a.x", 1, 1.0)}
+        assert {tuple(r) for r in G.interface_width(own, assign).collect()} == {("a", "b", 3, 3, 2), ("b", "a", 1, 1, 1)}
+        assert "RepartitionByExpression [target" in plan_of(G.interface_width(own, assign)) and G.portions(assign) == max(4, -(-(many + 4) // 5000))
+
+
+def test_imports_are_matched_by_modules_not_by_calls(edges):
+    from graphloom.operators import reports as R
+
+    calls = edges([("a.b.f", "c.d.g"), ("a.b.f", "c.d.g"), ("a.b.h", "c.e.g"), ("a.x.f", "c.d.g"), ("a.b.f", "c"), ("a.b.f", "z.q")])
+    imports = edges([("a.b", "c.d"), ("a.x", "c"), ("a.b", "z.q"), ("a.b", "c")], "imports").where("target <> 'c' OR source = 'a.x'")
+    found = R.import_validated(calls, imports, lambda s: F.substring_index(s, ".", 2))
+    assert sorted((r.source, r.target) for r in found.collect()) == [("a.b.f", "c.d.g"), ("a.b.f", "c.d.g"), ("a.x.f", "c.d.g")]
+    assert "strategy=broadcast" in plan_of(found)
